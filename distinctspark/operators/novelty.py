@@ -1,0 +1,64 @@
+"""Which rows change a sketch (the return value of offering a value).
+
+Running the sketch row by row would put a hot key's rows in one window task.
+Instead the few rows that *can* be novel are found by a bounded aggregation and
+joined back by row id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from distinctspark.functions.hashing import hash60
+from distinctspark.operators.registers import bucket_of, rank_of
+
+
+def novelty_flag(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str | Column,
+    order: Sequence[str],
+    alg: str = "HLL",
+    p: int = 12,
+    bits: int = 65536,
+    hash: str = "xx",
+    out: str = "is_novel",
+) -> DataFrame:
+    """``df`` plus a flag; ``order`` must identify each row (arrival order + id).
+
+    HLL/LL/AC: the rank exceeds every earlier rank of its bucket.  LC: the bit
+    was unset.  EXACT: the value was unseen.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    h = hash60(column, hash)
+    at = F.struct(*order)
+    rows = df.where(column.isNotNull()).select(*keys, at.alias("_at"), h.alias("h"))
+    if alg in ("HLL", "LL", "AC"):
+        novel = _novel_registers(rows, keys, p)
+    elif alg == "LC":
+        slot = F.pmod("h", F.lit(bits)).alias("slot")
+        novel = rows.groupBy(*keys, slot).agg(F.min("_at").alias("_at"))
+    elif alg == "EXACT":
+        novel = rows.groupBy(*keys, "h").agg(F.min("_at").alias("_at"))
+    else:
+        raise ValueError(f"no novelty rule for {alg!r}")
+    marks = novel.select("_at.*").withColumn(out, F.lit(True))
+    joined = df.join(marks, list(order), "left")
+    return joined.withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def _novel_registers(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    # The first row of each (bucket, rank): at most ~60 candidates per bucket.
+    first = rows.groupBy(
+        *keys, bucket_of(F.col("h"), p).alias("bucket"), rank_of(F.col("h"), p).alias("rank")
+    ).agg(F.min("_at").alias("_at"))
+    earlier = (
+        Window.partitionBy(*keys, "bucket")
+        .orderBy("_at")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    seen = F.coalesce(F.max("rank").over(earlier), F.lit(0))
+    return first.withColumn("_seen", seen).where(F.col("rank") > F.col("_seen"))
