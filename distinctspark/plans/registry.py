@@ -40,7 +40,10 @@ SKETCHES: dict[str, type[Sketch]] = {
 
 
 def make_sketch(alg: str | Sketch, error: float | None = None, **params) -> Sketch:
-    """A sketch from its code; with ``error`` it sizes itself for that target."""
+    """A sketch from its code; with ``error`` it sizes itself for that target.
+
+    BJKST also takes ``error`` as a plain parameter, beside ``tries``.
+    """
     if isinstance(alg, Sketch):
         return alg
     if alg not in SKETCHES:
@@ -48,6 +51,8 @@ def make_sketch(alg: str | Sketch, error: float | None = None, **params) -> Sket
     cls = SKETCHES[alg]
     if error is None:
         return cls(**params)
+    if "tries" in params:
+        return cls(error=error, **params)
     if not hasattr(cls, "for_error"):
         raise ValueError(f"{alg} has no error-parameterised form")
     return cls.for_error(error, **params)
