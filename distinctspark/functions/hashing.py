@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_BITS = 60
@@ -35,27 +35,32 @@ MIX_ROUNDS = (
 HASH_KINDS = ("xx", "mix", "md5")
 
 
-def hash60(value: Column, kind: str = "xx") -> Column:
+def hash60(value: str, kind: str = "xx") -> Column:
+    """The hash of column ``value``, built from SQL text (one call into the JVM)."""
+    return F.expr(hash60_sql(f"`{value}`", kind))
+
+
+def hash60_sql(value: str, kind: str) -> str:
     if kind == "xx":
-        return F.shiftrightunsigned(F.xxhash64(value), 64 - HASH_BITS)
+        return f"shiftrightunsigned(xxhash64({value}), {64 - HASH_BITS})"
     if kind == "md5":
-        return F.conv(F.substring(F.md5(value.cast("string")), 1, 15), 16, 10).cast("long")
+        return f"CAST(conv(substring(md5(CAST({value} AS STRING)), 1, 15), 16, 10) AS BIGINT)"
     if kind == "mix":
-        return _mix(value.cast("long"))
+        return _mix_sql(f"CAST({value} AS BIGINT)")
     raise ValueError(f"unknown hash kind {kind!r}; choose from {HASH_KINDS}")
 
 
-def _mix(v: Column) -> Column:
-    high = F.shiftright(v, HALF_BITS).bitwiseAND(HALF_MASK)
-    low = v.bitwiseAND(HALF_MASK)
+def _mix_sql(v: str) -> str:
+    high = f"(shiftright({v}, {HALF_BITS}) & {HALF_MASK}L)"
+    low = f"({v} & {HALF_MASK}L)"
     for i, (mul, add) in enumerate(MIX_ROUNDS):
         source = low if i % 2 == 0 else high
-        scramble = F.shiftright((source + add) * F.lit(mul).cast("long"), 15).bitwiseAND(HALF_MASK)
+        scramble = f"(shiftright(({source} + {add}L) * {mul}L, 15) & {HALF_MASK}L)"
         if i % 2 == 0:
-            high = high.bitwiseXOR(scramble)
+            high = f"({high} ^ {scramble})"
         else:
-            low = low.bitwiseXOR(scramble)
-    return F.shiftleft(high, HALF_BITS).bitwiseOR(low)
+            low = f"({low} ^ {scramble})"
+    return f"(shiftleft({high}, {HALF_BITS}) | {low})"
 
 
 def high_half(h: Column) -> Column:
@@ -66,14 +71,27 @@ def low_half(h: Column) -> Column:
     return h.bitwiseAND(HALF_MASK)
 
 
+def bit_length(x: Column) -> Column:
+    """Number of significant bits of 0 <= x < 2^61, exactly, without text conversion.
+
+    y = 2x + 1 is never 0, and y & ~(y >> 1) keeps y's top bit but clears the
+    bit below it, so its base-2 logarithm lies in [k, k + 0.59): the quarter
+    added before rounding down absorbs any floating-point error.
+    """
+    y = x * 2 + 1
+    top = y.bitwiseAND(F.bitwise_not(F.shiftright(y, 1)))
+    return F.floor(F.log2(top) + 0.25).cast("int")
+
+
 def leading_rank(x: Column, width: int) -> Column:
     """1 + number of leading zeros of ``x`` seen as ``width`` bits; width+1 for 0."""
-    return F.when(x == 0, F.lit(width + 1)).otherwise(F.lit(width + 1) - F.length(F.bin(x)))
+    return F.lit(width + 1) - bit_length(x)
 
 
 def trailing_zeros(x: Column, width: int = HASH_BITS) -> Column:
     """Number of trailing zero bits of a non-negative value; ``width`` for 0."""
-    return F.when(x == 0, F.lit(width)).otherwise(F.bit_count(x.bitwiseAND(-x) - 1))
+    # x = 0 gives bit_count(-1) = 64, which the bound turns into ``width``.
+    return F.least(F.bit_count(x.bitwiseAND(-x) - 1), F.lit(width))
 
 
 def lowest_unset_bit(x: Column) -> Column:
@@ -87,40 +105,52 @@ def family_coefficients(seed: int) -> tuple[int, ...]:
     return tuple(int(digits[i : i + 7], 16) for i in range(0, 42, 7))
 
 
-def seeded_hash(h: Column, coef: tuple[Column, ...]) -> Column:
-    """A member of a linear hash family over the halves of ``h``, 60 bits wide.
+def with_seeds(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` once per seeded hash number, with columns ``seed`` and a..f.
 
-    Two lanes ``(a*high + b*low + c) mod PRIME`` give the two halves.
+    The coefficients are one literal array, so this is a narrow map-side step.
     """
-    a, b, c, d, e, f = coef
-    first = F.pmod(a * high_half(h) + b * low_half(h) + c, F.lit(PRIME))
-    second = F.pmod(d * high_half(h) + e * low_half(h) + f, F.lit(PRIME))
-    return F.shiftleft(first.bitwiseAND(HALF_MASK), HALF_BITS).bitwiseOR(
-        second.bitwiseAND(HALF_MASK)
+    structs = ", ".join(
+        f"struct({seed} AS seed, "
+        + ", ".join(
+            f"{v}L AS {name}"
+            for name, v in zip("abcdef", family_coefficients(seed), strict=True)
+        )
+        + ")"
+        for seed in range(n)
     )
+    return rows.selectExpr("*", f"inline(array({structs}))")
 
 
-def family_table(n: int) -> Column:
-    """A literal array of ``n`` structs (seed, a..f), to explode beside each hash."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(seed).alias("seed"),
-                *[
-                    F.lit(v).cast("long").alias(name)
-                    for name, v in zip("abcdef", family_coefficients(seed), strict=True)
-                ],
-            )
-            for seed in range(n)
-        ]
-    )
+def seeded_hash(h: str = "h") -> Column:
+    """A member (columns a..f) of a linear hash family over the halves of ``h``.
+
+    Two lanes ``(a*high + b*low + c) mod PRIME`` give the halves of 60 bits.
+    """
+    high, low = f"shiftright({h}, {HALF_BITS})", f"({h} & {HALF_MASK}L)"
+    lanes = [
+        f"(pmod({x} * {high} + {y} * {low} + {z}, {PRIME}L) & {HALF_MASK}L)"
+        for x, y, z in ("abc", "def")
+    ]
+    return F.expr(f"shiftleft({lanes[0]}, {HALF_BITS}) | {lanes[1]}")
 
 
-def bloom_positions(h: Column, k: int | Column, bits: int | Column) -> Column:
-    """K double-hash bit positions ``(h1 + i*h2) mod bits`` as an array."""
-    h1, h2 = high_half(h), low_half(h)
-    last = (F.lit(k) if isinstance(k, int) else k) - 1
-    width = F.lit(bits) if isinstance(bits, int) else bits
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.pmod(h1 + i.cast("long") * h2, width.cast("long"))
-    )
+def bloom_position(h: Column, i: int | Column, bits: int) -> Column:
+    """Double-hash bit position number ``i``: ``(h1 + i*h2) mod bits``."""
+    step = F.lit(i) if isinstance(i, int) else i
+    return F.pmod(high_half(h) + step.cast("long") * low_half(h), F.lit(bits).cast("long"))
+
+
+def bloom_positions(h: Column, k: int, bits: int) -> Column:
+    """All ``k`` positions as an array."""
+    return F.array(*[bloom_position(h, i, bits) for i in range(k)])
+
+
+def evaluated_once(column: Column) -> Column:
+    """``column``, kept out of predicates above it.
+
+    A filter is not pushed below a projection with a non-deterministic part, so
+    the always-true test on the partition id keeps an expensive expression from
+    being copied into every term of the filter.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)

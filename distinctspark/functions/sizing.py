@@ -94,6 +94,12 @@ def lerp(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.ceil(y0 + (x - x0) * (y1 - y0).cast("double") / (x1 - x0))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """A small constant table, planned as a local relation."""
+    values = ", ".join(f"({', '.join(map(str, row))})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def one_percent_breakpoints(spark: SparkSession) -> DataFrame:
     """The 1 % table as rows (lo, hi, bits_lo, bits_hi); 48 rows, fixed."""
     points = [
@@ -104,7 +110,7 @@ def one_percent_breakpoints(spark: SparkSession) -> DataFrame:
     rows = [
         (lo, hi, y0, y1) for (lo, y0), (hi, y1) in zip(points[:-1], points[1:], strict=True)
     ]
-    return spark.createDataFrame(rows, "lo long, hi long, bits_lo long, bits_hi long")
+    return literal_table(spark, rows, "lo", "hi", "bits_lo", "bits_hi")
 
 
 def one_percent_lower_bound(n: Column) -> Column:
@@ -181,7 +187,7 @@ def bloom_candidates(spark: SparkSession) -> DataFrame:
         for bpe in range(BLOOM_MIN_BITS, BLOOM_MAX_BITS + 1)
         for k in range(1, BEST_K[bpe] + 1)
     ]
-    table = spark.createDataFrame(choices, "bits_per_element int, k int")
+    table = literal_table(spark, choices, "bits_per_element", "k")
     return table.withColumn("fpp", false_positive_rate(F.col("k"), F.col("bits_per_element")))
 
 

@@ -68,10 +68,10 @@ class Sketch:
     def hashed(
         self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
     ) -> DataFrame:
-        column = F.col(value) if isinstance(value, str) else value
-        h = column.cast("long") if prehashed else hash60(column, self.hash)
+        df, value = named_value(df, value)
+        h = F.col(value).cast("long") if prehashed else hash60(value, self.hash)
         meta = [c for c in META if c in df.columns]
-        return df.where(column.isNotNull()).select(*keys, *meta, h.alias("h"))
+        return df.where(F.col(value).isNotNull()).select(*keys, *meta, h.alias("h"))
 
     def expand(self, hashed: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -155,6 +155,13 @@ class Sketch:
         return self.lower(self.partial(df, keys, value, prehashed), keys)
 
 
+def named_value(df: DataFrame, value: str | Column) -> tuple[DataFrame, str]:
+    """``df`` with the value as a named column."""
+    if isinstance(value, str):
+        return df, value
+    return df.withColumn("_value", value), "_value"
+
+
 def meta_aggregates(rows: DataFrame) -> list[Column]:
     return [fn(name).alias(name) for name, fn in META.items() if name in rows.columns]
 

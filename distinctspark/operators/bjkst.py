@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from distinctspark.functions import sizing
-from distinctspark.functions.hashing import family_table, seeded_hash, trailing_zeros
+from distinctspark.functions.hashing import seeded_hash, trailing_zeros, with_seeds
 from distinctspark.operators.base import Sketch, distinct_hashes, group_agg, meta_aggregates
 from distinctspark.session import join_group_params, materialize
 
@@ -56,11 +56,9 @@ class Bjkst(Sketch):
         return hashed
 
     def _tried(self, hashes: DataFrame, keys: Sequence[str]) -> DataFrame:
-        rows = hashes.select(
-            *keys, "h", F.explode(family_table(self.tries)).alias("f")
-        )
-        level = trailing_zeros(seeded_hash(F.col("h"), tuple(F.col(f"f.{c}") for c in "abcdef")))
-        return rows.select(*keys, F.col("f.seed").alias("try"), "h", level.alias("tz"))
+        rows = with_seeds(hashes.select(*keys, "h"), self.tries)
+        level = trailing_zeros(seeded_hash())
+        return rows.select(*keys, F.col("seed").alias("try"), "h", level.alias("tz"))
 
     def _levels(
         self, tried: DataFrame, keys: Sequence[str], floor: Column | None = None

@@ -13,13 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from distinctspark.functions import sizing
-from distinctspark.functions.hashing import HALF_BITS, bloom_positions, hash60
+from distinctspark.functions.hashing import (
+    HALF_BITS,
+    bloom_position,
+    bloom_positions,
+    evaluated_once,
+    hash60,
+)
 from distinctspark.operators.base import (
     Sketch,
-    distinct_hashes,
     fanned_meta,
     group_agg,
     meta_aggregates,
+    named_value,
 )
 
 #: A filter of up to this many bits (1 MiB) is tested as one packed constant.
@@ -84,40 +90,42 @@ class BloomFilter(Sketch):
         mask = F.call_function("shiftleft", one, F.pmod("bit", F.lit(WORD_BITS)).cast("int"))
         words = self.checked(state).groupBy(word.alias("w")).agg(F.bit_or(mask).alias("mask"))
         by_word = F.map_from_entries(F.collect_list(F.struct("w", "mask")))
-        packed = words.agg(by_word.alias("m")).select(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(n_words - 1)),
-                lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")),
+        packed = (
+            words.agg(by_word.alias("m"))
+            .select(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(n_words - 1)),
+                    lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")),
+                )
             )
+            .scalar()
         )
-        column = F.col(value) if isinstance(value, str) else value
-        tested = df.withColumn("_h", hash60(column, self.hash)).withColumn(
-            "_words", packed.scalar()
-        )
-
-        def is_set(position: Column) -> Column:
-            w = F.get(F.col("_words"), F.floor(position / WORD_BITS).cast("int"))
-            bit = F.pmod(position, F.lit(WORD_BITS)).cast("int")
-            return F.call_function("getbit", w, bit) == 1
-
-        hit = F.forall(bloom_positions(F.col("_h"), self.k, self.bits), is_set)
-        return tested.where(column.isNotNull() & hit).drop("_h", "_words")
+        df, name = named_value(df, value)
+        hashed = evaluated_once(hash60(name, self.hash))
+        tested = df.where(F.col(name).isNotNull()).withColumn("_h", hashed)
+        # K plain bit tests that stop at the first miss; the subquery runs once.
+        hit = F.lit(True)
+        for i in range(self.k):
+            at = bloom_position(F.col("_h"), i, self.bits)
+            found = F.get(packed, F.floor(at / WORD_BITS).cast("int"))
+            hit = hit & (F.call_function("getbit", found, F.pmod(at, F.lit(WORD_BITS))) == 1)
+        return tested.where(hit).drop("_h", "_value")
 
     def _filter_joined(self, df: DataFrame, value: str | Column, state: DataFrame) -> DataFrame:
         """Distinct hashes joined to the bits; those with all K bits present pass."""
-        column = F.col(value) if isinstance(value, str) else value
-        rows = df.where(column.isNotNull()).withColumn("h", hash60(column, self.hash))
-        positions = bloom_positions(F.col("h"), self.k, self.bits)
-        probes = distinct_hashes(rows.select("h"), []).select(
-            "h", F.posexplode(positions).alias("i", "bit")
+        df, name = named_value(df, value)
+        rows = df.where(F.col(name).isNotNull()).withColumn("_h", hash60(name, self.hash))
+        positions = bloom_positions(F.col("_h"), self.k, self.bits)
+        probes = (
+            rows.select("_h").distinct().select("_h", F.posexplode(positions).alias("i", "bit"))
         )
         passing = (
             probes.join(self.checked(state).select("bit"), "bit")
-            .groupBy("h")
+            .groupBy("_h")
             .agg(F.count("i").alias("n"))
             .where(F.col("n") == self.k)
         )
-        return rows.join(passing.select("h"), "h", "left_semi").drop("h")
+        return rows.join(passing.select("_h"), "_h", "left_semi").drop("_h", "_value")
 
 
 def bloom_sizing(groups: DataFrame, n: str, target: str) -> DataFrame:

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from distinctspark.functions import sizing
 from distinctspark.functions.hashing import (
-    family_table,
     lowest_unset_bit,
     seeded_hash,
     trailing_zeros,
+    with_seeds,
 )
-from distinctspark.operators.base import Sketch, fanned_meta, group_agg, meta_aggregates
+from distinctspark.operators.base import META, Sketch, fanned_meta, group_agg, meta_aggregates
 
 PHI = 0.77351
 
@@ -47,17 +47,14 @@ class FlajoletMartin(Sketch):
             raise ValueError("groups and hashes must be positive")
 
     def expand(self, hashed: DataFrame) -> DataFrame:
-        others = [c for c in hashed.columns if c != "h"]
-        rows = hashed.withColumn("f", F.explode(family_table(self.groups * self.hashes)))
-        rank = trailing_zeros(
-            seeded_hash(F.col("h"), tuple(F.col(f"f.{c}") for c in "abcdef"))
-        )
-        keys = [c for c in others if c not in ("n_items", "first_ts", "last_ts")]
-        return rows.select(
+        keys = [c for c in hashed.columns if c not in ("h", *META)]
+        return with_seeds(hashed, self.groups * self.hashes).select(
             *keys,
-            *fanned_meta(hashed, F.col("f.seed")),
-            F.col("f.seed").alias("seed"),
-            F.call_function("shiftleft", F.lit(1).cast("long"), rank).alias("bits"),
+            *fanned_meta(hashed, F.col("seed")),
+            "seed",
+            F.call_function(
+                "shiftleft", F.lit(1).cast("long"), trailing_zeros(seeded_hash())
+            ).alias("bits"),
         )
 
     def lower(self, state: DataFrame, keys: Sequence[str]) -> DataFrame:

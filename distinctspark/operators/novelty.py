@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from distinctspark.functions.hashing import hash60
+from distinctspark.operators.base import named_value
 from distinctspark.operators.registers import bucket_of, rank_of
 
 
@@ -32,10 +33,9 @@ def novelty_flag(
     HLL/LL/AC: the rank exceeds every earlier rank of its bucket.  LC: the bit
     was unset.  EXACT: the value was unseen.
     """
-    column = F.col(value) if isinstance(value, str) else value
-    h = hash60(column, hash)
-    at = F.struct(*order)
-    rows = df.where(column.isNotNull()).select(*keys, at.alias("_at"), h.alias("h"))
+    source, name = named_value(df, value)
+    at = F.struct(*order).alias("_at")
+    rows = source.where(F.col(name).isNotNull()).select(*keys, at, hash60(name, hash).alias("h"))
     if alg in ("HLL", "LL", "AC"):
         novel = _novel_registers(rows, keys, p)
     elif alg == "LC":

@@ -23,8 +23,8 @@ def accuracy_report(
     kinds = {m.hash for m in methods.values()}
     if len(kinds) != 1:
         raise ValueError("all methods of a report must use the same hash kind")
-    column = F.col(value)
-    rows = df.where(column.isNotNull()).select(*keys, hash60(column, kinds.pop()).alias("h"))
+    present = df.where(F.col(value).isNotNull())
+    rows = present.select(*keys, hash60(value, kinds.pop()).alias("h"))
     base = distinct_hashes(rows, keys)
     estimates = [
         sketch.lower(sketch.one_pass(base, keys, "h", prehashed=True, dedup=False), keys).select(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from distinctspark.functions.hashing import hash60
-from distinctspark.operators.base import META, Sketch
+from distinctspark.operators.base import META, Sketch, named_value
 from distinctspark.plans.registry import make_sketch
 
 #: Methods whose estimate needs ranking windows, so no streaming form exists.
@@ -47,14 +47,14 @@ def windowed_distinct(
     slide_ms = slide_ms or size_ms
     if df.isStreaming and sketch.code in BATCH_ONLY:
         raise ValueError(f"{sketch.code} has no streaming form")
-    column = F.col(value) if isinstance(value, str) else value
+    df, value = named_value(df, value)
     extra = []
     if metadata:
         extra = [F.lit(1).cast("long"), F.col(ts), F.col(ts)]
         extra = [c.alias(name) for name, c in zip(META, extra, strict=True)]
     # Hash before expanding, so the work is done once per event.
-    rows = df.where(column.isNotNull()).select(
-        *keys, ts, hash60(column, sketch.hash).alias("h"), *extra
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, ts, hash60(value, sketch.hash).alias("h"), *extra
     )
     size, slide = _millis(size_ms), _millis(slide_ms)
     dedup = not df.isStreaming

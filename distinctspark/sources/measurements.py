@@ -62,7 +62,9 @@ def run_name(*parts: Column) -> Column:
 def write_measurements(records: DataFrame, path: str) -> None:
     """CSV below one folder per run: run_name=<approach>_<algorithm>_<tps>_<dist>_<metric>_<run>."""
     named = records.withColumn("run_name", run_name(*[F.col(p) for p in RUN_PARTS]))
-    named.drop(*RUN_PARTS).write.mode("append").partitionBy("run_name").option(
+    # One writer per run where runs are small, several where one is large.
+    named = named.drop(*RUN_PARTS).hint("rebalance", "run_name")
+    named.write.mode("append").partitionBy("run_name").option(
         "header", "true"
     ).csv(path)
 
