@@ -6,6 +6,7 @@ targets makes sense, as a column expression or a DataFrame transformation.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,11 +103,7 @@ def literal_table(spark: SparkSession, rows: list[tuple[int, ...]], *names: str)
 
 def one_percent_breakpoints(spark: SparkSession) -> DataFrame:
     """The 1 % table as rows (lo, hi, bits_lo, bits_hi); 48 rows, fixed."""
-    points = [
-        (start * (i + 1), bits)
-        for start, decade in ONE_PERCENT_BITS.items()
-        for i, bits in enumerate(decade)
-    ] + list(ONE_PERCENT_TAIL)
+    points = _one_percent_points()
     rows = [
         (lo, hi, y0, y1) for (lo, y0), (hi, y1) in zip(points[:-1], points[1:], strict=True)
     ]
@@ -125,6 +122,40 @@ def one_percent_lower_bound(n: Column) -> Column:
     )
 
 
+def _one_percent_points() -> list[tuple[int, int]]:
+    return [
+        (start * (i + 1), bits)
+        for start, decade in ONE_PERCENT_BITS.items()
+        for i, bits in enumerate(decade)
+    ] + list(ONE_PERCENT_TAIL)
+
+
+def one_percent_bits(n_max: int) -> int:
+    """Plain-number form of :func:`linear_bits_one_percent`, before byte rounding."""
+    points = _one_percent_points()
+    if n_max < points[0][0]:
+        return points[0][1]
+    if n_max > points[-1][0]:
+        return n_max // 12
+    i = min(bisect.bisect_right(points, (n_max, math.inf)), len(points) - 1)
+    (x0, y0), (x1, y1) = points[i - 1], points[i]
+    return math.ceil(y0 + (n_max - x0) * (y1 - y0) / (x1 - x0))
+
+
+def bits_for_error(n_max: int, error: float) -> int:
+    """Plain-number form of :func:`linear_bits_for_error`."""
+    if not 0 < error < 1 or n_max <= 0:
+        raise ValueError("need 0 < error < 1 and a positive maximum")
+
+    def enough(length: int) -> bool:
+        t = n_max / length
+        if t > 700:  # exp would overflow; far too short anyway
+            return False
+        return length > max(1 / (error * t) ** 2, 5) * (math.exp(t) - t - 1)
+
+    return bisect.bisect_left(range(1 << LC_SEARCH_STEPS), True, lo=1, key=enough)
+
+
 def linear_bits_one_percent(groups: DataFrame, n: str, out: str = "lc_bits") -> DataFrame:
     """Linear-counter length for 1 % error, for each row's maximum cardinality."""
     table = F.broadcast(one_percent_breakpoints(groups.sparkSession))

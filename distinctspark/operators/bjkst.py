@@ -81,7 +81,9 @@ class Bjkst(Sketch):
         if floor is not None:
             level = F.greatest(level, F.coalesce(F.max("_floor"), F.lit(0)))
         levels = counts.groupBy(*by).agg(
-            level.alias("level"), F.collect_list(F.struct("tz", "n")).alias("counts")
+            level.alias("level"),
+            F.sum("n").alias("n_rows"),
+            F.collect_list(F.struct("tz", "n")).alias("counts"),  # at most 61 levels
         )
         size = F.aggregate(
             F.filter("counts", lambda c: c["tz"] >= F.col("level")),
@@ -132,7 +134,8 @@ class Bjkst(Sketch):
         by = [*keys, "try"]
         levels = self._levels(tried, keys, F.col("level")).withColumnRenamed("level", "_level")
         rows = tried.drop("level").where(F.col("h") != MARKER)
-        kept = join_group_params(rows, levels, by, weight="size").where("tz >= _level")
+        bounds = levels.select(*by, "_level", "n_rows")
+        kept = join_group_params(rows, bounds, by, weight="n_rows").where("tz >= _level")
         kept = kept.withColumnRenamed("_level", "level")
         markers = levels.select(
             *by,

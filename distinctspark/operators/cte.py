@@ -13,6 +13,7 @@ from typing import ClassVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from distinctspark.functions import sizing
 from distinctspark.operators.base import Sketch, distinct_hashes, group_agg, meta_aggregates
 from distinctspark.operators.registers import (
     adaptive_estimate,
@@ -38,6 +39,14 @@ class CountThenEstimate(Sketch):
     slots: ClassVar[tuple[str, ...]] = ("h", "bucket")
     payload: ClassVar[dict] = {"reg": F.max}
 
+    @classmethod
+    def for_maximum(cls, n_max: int, **kw) -> CountThenEstimate:
+        """Linear counting beyond the tip for moderate maxima, else adaptive counting."""
+        if n_max < LINEAR_UP_TO:
+            p = (sizing.one_percent_bits(n_max) - 1).bit_length()
+            return cls(estimator="LC", p=p, **kw)
+        return cls(estimator="AC", p=16, **kw)
+
     def check(self) -> None:
         if self.tip < 0 or not 1 <= self.p <= 30:
             raise ValueError("need tip >= 0 and p in [1, 30]")

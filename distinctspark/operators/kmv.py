@@ -25,10 +25,22 @@ from distinctspark.operators.base import (
 DOMAIN = float(1 << HASH_BITS)
 #: Buckets per retained hash in the pruning pass.
 PRUNE_FACTOR = 4
+#: Hash classes a key's hashes are spread over before they are ranked.
+SPREAD = 64
 
 
-def smallest(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """The k smallest ``h`` per key; Spark limits each task before the shuffle."""
+def smallest(
+    rows: DataFrame, keys: Sequence[str], k: int, spread: bool = False
+) -> DataFrame:
+    """The k smallest ``h`` per key, with their ``rank``.
+
+    ``spread`` first takes the k smallest within each of SPREAD hash classes of
+    a key, so that a hot key's rows are ranked by many tasks and the last ranking
+    sees at most SPREAD * k of them.
+    """
+    if spread:
+        by_class = Window.partitionBy(*keys, F.pmod("h", F.lit(SPREAD))).orderBy("h")
+        rows = rows.withColumn("rank", F.row_number().over(by_class)).where(F.col("rank") <= k)
     by = Window.partitionBy(*keys).orderBy("h")
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
@@ -72,44 +84,45 @@ class KMinValues(Sketch):
         broadcast one bound each, the second pass goes unpruned.
         """
         rows = self.hashed(df, keys, value, prehashed)
-        if "n_items" in rows.columns:  # item counts need every row
-            return self.trim(self.reduce(rows, keys), keys)
+        if len(rows.columns) > len(keys) + 1:  # item metadata needs every row
+            return self.reduce(rows, keys)
         bounds = session.materialize(self._bounds(rows, keys), "kmv-bounds")
         if bounds.count() <= session.BROADCAST_ROW_LIMIT:
             rows = session.join_small(rows, bounds, keys).where("h <= bound").drop("bound")
-        return self.trim(distinct_hashes(rows, keys), keys)
+        return distinct_hashes(rows, keys)
+
+    def state(
+        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
+    ) -> DataFrame:
+        rows = self.partial(df, keys, value, prehashed).select(*keys, "h")
+        return self.sign(self.trim(rows, keys))
 
     def _bounds(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         buckets = 1 << (PRUNE_FACTOR * self.k - 1).bit_length()
         minima = rows.groupBy(*keys, F.pmod("h", F.lit(buckets)).alias("_b")).agg(
             F.min("h").alias("h")
         )
-        top = smallest(minima, keys, self.k)
+        top = smallest(minima, keys, self.k, spread=True)
         kth = F.max(F.when(F.col("rank") == self.k, F.col("h")))
         return top.groupBy(*keys).agg(
             F.coalesce(kth, F.lit(1 << HASH_BITS)).alias("bound")
         )
 
     def trim(self, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return smallest(state, keys, self.k).drop("rank")
+        return smallest(state, keys, self.k, spread=True).drop("rank")
 
     def combine(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         return self.trim(self.reduce(rows, keys), keys)
 
     def lower(self, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-        meta = meta_aggregates(state)
-        if meta:  # item counts need every row, so aggregate before ranking is cut
-            ranked = state.withColumn(
-                "rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-            )
-            kept = F.when(F.col("rank") <= self.k, F.col("h"))
-        else:
-            ranked, kept = smallest(state, keys, self.k), F.col("h")
-        totals = group_agg(
-            ranked, keys, F.count(kept).alias("n"), F.max(kept).alias("kth"), *meta
-        )
+        top = smallest(state.select(*keys, "h"), keys, self.k, spread=True)
+        totals = group_agg(top, keys, F.count("h").alias("n"), F.max("h").alias("kth"))
         estimate = kmv_estimate(F.col("n"), F.col("kth"), self.k)
-        return totals.withColumn("estimate", estimate).drop("n", "kth")
+        estimates = totals.withColumn("estimate", estimate).drop("n", "kth")
+        meta = meta_aggregates(state)
+        if not meta:
+            return estimates
+        return session.equi_join(estimates, group_agg(state, keys, *meta), list(keys), "inner")
 
 
 def kmv_overlap(
@@ -124,7 +137,7 @@ def kmv_overlap(
     per_hash = state.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("held_by"))
     members = state.select(*keys, *member).distinct()
     n_members = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
-    top = smallest(per_hash, keys, k)
+    top = smallest(per_hash, keys, k, spread=True)
     # Rows per held_by level: at most one per member count, then one row per key.
     levels = top.groupBy(*keys, "held_by").agg(
         F.count(F.lit(1)).alias("n"), F.max("h").alias("kth")

@@ -32,6 +32,15 @@ class LinearCounting(Sketch):
     def _length(self) -> Column:
         return F.lit(self.bits).cast("long") if isinstance(self.bits, int) else F.col(self.bits)
 
+    @classmethod
+    def for_maximum(cls, n_max: int, error: float | None = None, **kw) -> LinearCounting:
+        """Sized for at most ``n_max`` values: by the 1 % table, or for ``error``."""
+        if error is None:
+            bits = sizing.one_percent_bits(n_max)
+        else:
+            bits = sizing.bits_for_error(n_max, error)
+        return cls(bits=-(-bits // 8) * 8, **kw)
+
     def check(self) -> None:
         if isinstance(self.bits, int) and self.bits < 1:
             raise ValueError("bits must be positive")

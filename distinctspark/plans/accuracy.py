@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from distinctspark.functions.hashing import hash60
 from distinctspark.functions.scalars import relative_error
 from distinctspark.operators.base import Sketch, distinct_hashes
+from distinctspark.session import materialize
 
 
 def accuracy_report(
@@ -17,15 +18,15 @@ def accuracy_report(
 ) -> DataFrame:
     """Long form: name, keys, estimate, exact, rel_error.
 
-    All methods read one deduplicated (keys, hash) set: the plan's branches
-    share that shuffle.
+    The input is read and deduplicated once, into a (keys, hash) table in the
+    shared folder that all methods read.
     """
     kinds = {m.hash for m in methods.values()}
     if len(kinds) != 1:
         raise ValueError("all methods of a report must use the same hash kind")
     present = df.where(F.col(value).isNotNull())
     rows = present.select(*keys, hash60(value, kinds.pop()).alias("h"))
-    base = distinct_hashes(rows, keys)
+    base = materialize(distinct_hashes(rows, keys), "accuracy")
     estimates = [
         sketch.lower(sketch.one_pass(base, keys, "h", prehashed=True, dedup=False), keys).select(
             F.lit(name).alias("name"), *keys, "estimate"
