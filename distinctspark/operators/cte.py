@@ -94,14 +94,14 @@ class CountThenEstimate(Sketch):
         )
         candidates = join_group_params(hashed, maybe_exact, keys, weight="n")
         sets = materialize(self.expand(distinct_hashes(candidates, keys)), "cte-sets")
+        tipped = registers.drop("n").withColumn("h", F.lit(NONE).cast("long"))
+        if not keys:  # one group: a scalar decides
+            n = sets.count()
+            return state_rows(sets if 0 < n <= self.tip else tipped, keys)
         sizes = sets.groupBy(*keys).agg(F.count("h").alias("n"))
         exact = sets.join(sizes.where(F.col("n") <= self.tip), list(keys), "left_semi")
-        tipped = registers.drop("n").withColumn("h", F.lit(NONE).cast("long"))
-        if not keys:
-            is_exact = sizes.first()["n"] <= self.tip and maybe_exact.count() > 0
-            return exact_or(sets if is_exact else tipped, keys)
         tipped = tipped.join(exact.select(*keys).distinct(), list(keys), "left_anti")
-        return exact_or(exact, keys).unionByName(exact_or(tipped, keys))
+        return state_rows(exact, keys).unionByName(state_rows(tipped, keys))
 
     def combine(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Exact sets stay exact while their union is within ``tip``."""
@@ -158,5 +158,5 @@ class CountThenEstimate(Sketch):
         return F.round(F.lit(m) * F.ln(F.lit(m) / unset)).cast("long")
 
 
-def exact_or(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def state_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, "h", "bucket", "reg")

@@ -46,8 +46,10 @@ def accuracy_rank(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     by = Window.partitionBy(*keys)
     return report.withColumns(
         {
-            "rank_by_estimate": F.rank().over(by.orderBy(F.col("estimate").desc())),
-            "rank_by_error": F.rank().over(by.orderBy(F.round("rel_error", 9))),
+            "rank_by_estimate": F.rank()
+            .over(by.orderBy(F.col("estimate").desc()))
+            .cast("long"),
+            "rank_by_error": F.rank().over(by.orderBy(F.round("rel_error", 9))).cast("long"),
         }
     )
 
