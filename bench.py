@@ -18,7 +18,7 @@ from distinctspark.session import build_session  # noqa: E402
 from distinctspark.workloads.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "exact_distinct_parts",
+    "exact_distinct",
     "loglog",
     "adaptive_counting",
     "hyperloglog",
@@ -39,7 +39,7 @@ HEADLINE = (
     "sliding_direct",
     "sliding_sliced",
     "sliding_exact",
-    "novelty_hll",
+    "novelty_flag",
     "latency_summary",
     "throughput_cdf",
     "accuracy_report",

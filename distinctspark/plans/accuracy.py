@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -13,31 +14,36 @@ from distinctspark.operators.base import Sketch, distinct_hashes
 from distinctspark.session import materialize
 
 
-def accuracy_report(
+def distinct_table(
     df: DataFrame, keys: Sequence[str], value: str, methods: Mapping[str, Sketch]
 ) -> DataFrame:
-    """Long form: name, keys, estimate, exact, rel_error.
-
-    The input is read and deduplicated once, into a (keys, hash) table in the
-    shared folder that all methods read.
-    """
+    """The input read and deduplicated once, as a (keys, h) table in the shared folder."""
     kinds = {m.hash for m in methods.values()}
     if len(kinds) != 1:
-        raise ValueError("all methods of a report must use the same hash kind")
+        raise ValueError("all methods must use the same hash kind")
     present = df.where(F.col(value).isNotNull())
     rows = present.select(*keys, hash60(value, kinds.pop()).alias("h"))
-    base = materialize(distinct_hashes(rows, keys), "accuracy")
-    estimates = [
+    return materialize(distinct_hashes(rows, keys), "distinct")
+
+
+def estimates_of(base: DataFrame, keys: Sequence[str], methods: Mapping[str, Sketch]) -> DataFrame:
+    """Long form (name, keys, estimate) of several methods over one (keys, h) table."""
+    found = [
         sketch.lower(sketch.one_pass(base, keys, "h", prehashed=True, dedup=False), keys).select(
             F.lit(name).alias("name"), *keys, "estimate"
         )
         for name, sketch in methods.items()
     ]
-    long = estimates[0]
-    for other in estimates[1:]:
-        long = long.unionByName(other)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def accuracy_report(
+    df: DataFrame, keys: Sequence[str], value: str, methods: Mapping[str, Sketch]
+) -> DataFrame:
+    """Long form: keys, name, estimate, exact, rel_error; the input is read once."""
+    base = distinct_table(df, keys, value, methods)
     truth = base.groupBy(*keys).agg(F.count("h").alias("exact"))
-    joined = long.join(truth, list(keys))
+    joined = estimates_of(base, keys, methods).join(truth, list(keys))
     return joined.withColumn("rel_error", relative_error(F.col("estimate"), F.col("exact")))
 
 

@@ -80,7 +80,8 @@ def limit_duration(events: DataFrame, ts: str, duration: Column) -> DataFrame:
     The first timestamp is one scalar fetched up front, so that the cut is a
     literal predicate the scan can push down to row-group statistics.
     """
-    first = events.agg(F.min(ts)).first()[0]
+    # As text, so that no client-side time zone takes part.
+    first = events.agg(F.min(ts).cast("string")).first()[0]
     if first is None:
         return events
     last = F.lit(first).cast(events.schema[ts].dataType) + duration

@@ -276,7 +276,7 @@ ORACLES: dict[str, str] = {}
 
 # -- exact -------------------------------------------------------------------
 
-ORACLES["exact_distinct_parts"] = (
+ORACLES["exact_distinct"] = (
     "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_distinct FROM lineitem GROUP BY 1"
 )
 ORACLES["exact_distinct_users"] = (
@@ -285,7 +285,7 @@ ORACLES["exact_distinct_users"] = (
 ORACLES["exact_distinct_texts"] = (
     "SELECT lang, count(DISTINCT text) AS n_distinct FROM documents GROUP BY 1"
 )
-ORACLES["item_counts"] = (
+ORACLES["item_count"] = (
     "SELECT l_returnflag, l_linestatus, count(*) AS n_items FROM lineitem GROUP BY 1, 2"
 )
 ORACLES["bitmap_native"] = (
@@ -356,7 +356,7 @@ _choices = ", ".join(
     for k in range(1, sizing.BEST_K[bpe] + 1)
 )
 _fpp = "pow(1 - exp(-k::DOUBLE / bits_per_element), k)"
-ORACLES["bloom_sizes"] = (
+ORACLES["bloom_sizing"] = (
     f"WITH choice AS (SELECT *, {_fpp} AS fpp FROM (VALUES {_choices}) t(bits_per_element, k)), "
     "grp AS (SELECT o_orderpriority, count(DISTINCT o_custkey) AS n_distinct, "
     "round(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) / 100.0::DOUBLE, 2) AS target "
@@ -407,6 +407,12 @@ ORACLES["kmv_set_overlap"] = _overlap(
     "l_returnflag",
     1024,
 )
+for _name, _column in (
+    ("kmv_union", "union_estimate"),
+    ("kmv_jaccard", "jaccard"),
+    ("kmv_intersection", "intersection_estimate"),
+):
+    ORACLES[_name] = f"SELECT l_returnflag, {_column} FROM ({ORACLES['kmv_set_overlap']})"
 ORACLES["kmv_pair_overlap"] = _overlap(
     "(SELECT p.l_returnflag AS \"left\", 'N' AS \"right\", l.l_returnflag AS member, "
     f"{mix('l_orderkey')} AS h FROM (SELECT DISTINCT l_returnflag FROM lineitem "
@@ -471,7 +477,7 @@ ORACLES["sliding_by_timestamp"] = f"SELECT * FROM {windowed(_by_ts, 'ts_ms', 100
 
 _nov = f"(SELECT event_id, event_type, ts_us, {mix('cents')} AS h FROM {EVENTS})"
 _w8 = 52
-ORACLES["novelty_hll"] = (
+ORACLES["novelty_flag"] = (
     "SELECT event_id, event_type, r > coalesce(max(r) OVER (PARTITION BY event_type, b ORDER BY "
     "ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS is_novel FROM "
     f"(SELECT *, h >> {_w8} AS b, {lead(f'(h & {(1 << _w8) - 1})', _w8)} AS r FROM {_nov})"
@@ -494,11 +500,11 @@ ORACLES["duration_cut"] = (
     f"SELECT event_type, count(*) AS n, max(ts_us) AS last_us FROM {EVENTS} "
     "WHERE ts <= (SELECT min(ts) FROM events) + INTERVAL 10 DAY GROUP BY 1"
 )
-ORACLES["fill_missing_fields"] = (
+ORACLES["fill_missing"] = (
     "SELECT CASE WHEN value < 1 THEN 'DUMMY' ELSE event_type END AS key, count(*) AS n, "
     "count(*) AS n_values FROM events GROUP BY 1"
 )
-ORACLES["synthetic_values"] = (
+ORACLES["synthetic_events"] = (
     "SELECT 'h1' AS key, 5 * count(*) AS n, 5 * count(DISTINCT event_id) AS n_distinct FROM events"
 )
 

@@ -39,7 +39,7 @@ SIZE_MS, SLIDE_MS = 10 * HOUR_MS, HOUR_MS // 2
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -66,7 +66,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def exact_distinct_parts(spark, folder):
+def exact_distinct_query(spark, folder):
     return exact_distinct(lineitem(spark, folder), ["l_returnflag"], "l_partkey")
 
 
@@ -81,7 +81,7 @@ def exact_distinct_texts(spark, folder):
 
 
 @query
-def item_counts(spark, folder):
+def item_count_query(spark, folder):
     return item_count(lineitem(spark, folder), ["l_returnflag", "l_linestatus"])
 
 
@@ -198,7 +198,7 @@ def bitmap_native(spark, folder):
 
 
 @query
-def bloom_sizes(spark, folder):
+def bloom_sizing_query(spark, folder):
     """Filter size per priority and false-positive target (the discounts in use)."""
     groups = exact_distinct(orders(spark, folder), ["o_orderpriority"], "o_custkey")
     targets = (
@@ -272,9 +272,8 @@ def _merge(name: str) -> Query:
 QUERIES.update({name: _merge(name) for name in MERGES})
 
 
-@query
-def kmv_set_overlap(spark, folder):
-    """Union, Jaccard and intersection of both statuses' orders within each flag."""
+def _status_overlap(spark, folder) -> DataFrame:
+    """Both statuses' orders within each flag."""
     keys = ["l_returnflag"]
     state = sketch_state(
         lineitem(spark, folder), [*keys, "l_linestatus"], "l_orderkey", "KMV", hash="mix", k=1024
@@ -283,6 +282,26 @@ def kmv_set_overlap(spark, folder):
     return found.withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query
+def kmv_set_overlap(spark, folder):
+    return _status_overlap(spark, folder)
+
+
+@query
+def kmv_union(spark, folder):
+    return _status_overlap(spark, folder).select("l_returnflag", "union_estimate")
+
+
+@query
+def kmv_jaccard(spark, folder):
+    return _status_overlap(spark, folder).select("l_returnflag", "jaccard")
+
+
+@query
+def kmv_intersection(spark, folder):
+    return _status_overlap(spark, folder).select("l_returnflag", "intersection_estimate")
+
+
 @query
 def kmv_pair_overlap(spark, folder):
     """Each flag's orders against those of flag N."""
@@ -372,7 +391,7 @@ def sliding_by_timestamp(spark, folder):
 
 
 @query
-def novelty_hll(spark, folder):
+def novelty_flag_query(spark, folder):
     found = novelty_flag(
         events(spark, folder), ["event_type"], "cents", ["ts_us", "event_id"],
         "HLL", p=8, hash="mix",
@@ -435,7 +454,7 @@ def duration_cut(spark, folder):
 
 
 @query
-def fill_missing_fields(spark, folder):
+def fill_missing(spark, folder):
     """Every row whose value is below 1 loses its key or its value first."""
     short = F.col("value") < 1
     odd = F.col("event_id") % 2 == 1
@@ -451,7 +470,7 @@ def fill_missing_fields(spark, folder):
 
 
 @query
-def synthetic_values(spark, folder):
+def synthetic_events(spark, folder):
     """Five pseudo-random values of one key per event time."""
     made = ev.synthetic_events(events(spark, folder), "event_id", "ts_us", seed=42)
     return made.groupBy("key").agg(
@@ -478,15 +497,11 @@ DISPATCH: dict[str, dict] = {
 
 @query
 def alg_dispatch(spark, folder):
-    """All codes through one call."""
-    rows = lineitem(spark, folder)
-    found = [
-        approx_distinct(rows, ["l_returnflag"], "l_partkey", alg, hash="mix", **params).select(
-            F.lit(alg).alias("alg"), "l_returnflag", "estimate"
-        )
-        for alg, params in DISPATCH.items()
-    ]
-    return ms.append_sets(found)
+    """All codes through one call, over one reading of the table."""
+    methods = {alg: make_sketch(alg, hash="mix", **p) for alg, p in DISPATCH.items()}
+    keys = ["l_returnflag"]
+    base = accuracy.distinct_table(lineitem(spark, folder), keys, "l_partkey", methods)
+    return accuracy.estimates_of(base, keys, methods).withColumnRenamed("name", "alg")
 
 
 @query
