@@ -443,7 +443,7 @@ def windowed(rows: str, key: str, size_ms: int, slide_ms: int, alg: str, p: int)
 _ev = f"(SELECT event_type, ts_us, {mix('user_id')} AS h FROM {EVENTS})"
 _slide = windowed(_ev, "event_type", SIZE_MS, SLIDE_MS, "HLL", 6)
 ORACLES["sliding_direct"] = ORACLES["sliding_sliced"] = f"SELECT * FROM {_slide}"
-ORACLES["sliding_exact"] = (
+ORACLES["sliding_exact"] = ORACLES["sliding_exact_intervals"] = (
     f"SELECT * FROM {windowed(_ev, 'event_type', SIZE_MS, SLIDE_MS, 'EXACT', 0)}"
 )
 ORACLES["sliding_uneven"] = (

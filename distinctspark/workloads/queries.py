@@ -341,6 +341,11 @@ def sliding_exact(spark, folder):
     return _windowed(spark, folder, alg="EXACT", strategy="sliced")
 
 
+@query
+def sliding_exact_intervals(spark, folder):
+    return _windowed(spark, folder, alg="EXACT", strategy="intervals")
+
+
 @query
 def sliding_uneven(spark, folder):
     """A size that is no multiple of the slide: slices of their common divisor."""

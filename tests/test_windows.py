@@ -70,6 +70,15 @@ def test_sliced_equals_direct(spark, alg, metadata):
         assert counts == {k: len(v) for k, v in brute(df, 1000, 500).items()}
 
 
+@pytest.mark.parametrize("size,slide", [(1000, 500), (2, 1), (1000, 1000), (1000, 300), (300, 900)])
+def test_interval_counts_against_brute_force(spark, size, slide):
+    df = stream_rows(spark, 300)
+    got = windowed_distinct(df, ["key"], "value", "ts", size, slide, "EXACT", "intervals")
+    want = brute(df, size, slide)
+    counts = {(r.key, ms(r.window.start)): r.estimate for r in got.collect()}
+    assert counts == {k: len({v for v, _ in items}) for k, items in want.items()}
+
+
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError, match="unknown strategy"):
         windowed_distinct(stream_rows(spark), ["key"], "value", "ts", 10, 5, strategy="lazy")
