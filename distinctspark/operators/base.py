@@ -166,6 +166,10 @@ def meta_aggregates(rows: DataFrame) -> list[Column]:
     return [fn(name).alias(name) for name, fn in META.items() if name in rows.columns]
 
 
+def has_meta(rows: DataFrame) -> bool:
+    return any(name in rows.columns for name in META)
+
+
 def distinct_hashes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per (keys, h): balanced on the hash, whatever the key skew."""
     aggs = meta_aggregates(rows)

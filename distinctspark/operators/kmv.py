@@ -19,32 +19,36 @@ from distinctspark.operators.base import (
     Sketch,
     distinct_hashes,
     group_agg,
+    has_meta,
     meta_aggregates,
 )
 
 DOMAIN = float(1 << HASH_BITS)
 #: Buckets per retained hash in the pruning pass.
 PRUNE_FACTOR = 4
+#: Rows per retained hash from which a key is worth a bound of its own.
+HEAVY_FACTOR = 64
 #: Hash classes a key's hashes are spread over before they are ranked.
 SPREAD = 64
 
 
-def smallest(
-    rows: DataFrame, keys: Sequence[str], k: int, spread: bool = False
-) -> DataFrame:
-    """The k smallest ``h`` per key, with their ``rank``.
-
-    ``spread`` first takes the k smallest within each of SPREAD hash classes of
-    a key, so that a hot key's rows are ranked by many tasks and the last ranking
-    sees at most SPREAD * k of them.
-    """
-    if spread:
-        by_class = Window.partitionBy(*keys, F.pmod("h", F.lit(SPREAD))).orderBy("h")
-        rows = rows.withColumn("rank", F.row_number().over(by_class)).where(F.col("rank") <= k)
+def smallest(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The k smallest ``h`` per key, with their ``rank``; for bounded groups."""
     by = Window.partitionBy(*keys).orderBy("h")
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def smallest_per_class(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The k smallest ``h`` of each of SPREAD hash classes of a key.
+
+    A superset of the key's k smallest.  A hot key's hashes are ranked by that
+    many tasks, and what is left of it is small enough for one.
+    """
+    by = Window.partitionBy(*keys, F.pmod("h", F.lit(SPREAD))).orderBy("h")
+    ranked = rows.withColumn("rank", F.row_number().over(by))
+    return ranked.where(F.col("rank") <= k).drop("rank")
+
+
 def kmv_estimate(n: Column, kth: Column, k: int) -> Column:
     """Exact below k values, else (k-1) * 2^60 / h_k."""
     return (
@@ -72,24 +76,46 @@ class KMinValues(Sketch):
     def expand(self, hashed: DataFrame) -> DataFrame:
         return hashed
 
+    def reduce(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Distinct hashes; at most SPREAD * k per key unless item metadata is carried."""
+        distinct = super().reduce(rows, keys)
+        if has_meta(distinct):
+            return distinct
+        return smallest_per_class(distinct, keys, self.k)
+
     def partial(
         self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
     ) -> DataFrame:
-        """The k smallest hashes per key, without shuffling all distinct ones.
+        """The k smallest hashes per key (and a few more of small keys).
 
-        A first pass keeps only the smallest hash of each of ~4k buckets per key
-        (a map-side combine of bounded size).  The k-th smallest of those is an
-        upper bound of the true k-th smallest, so a second pass drops every
-        hash above it before deduplicating.  Exact; with too many keys to
-        broadcast one bound each, the second pass goes unpruned.
+        Small keys are simply deduplicated.  For a heavy key that would shuffle
+        all its distinct values, so one pass keeps only the smallest hash of each
+        of ~4k hash classes (a map-side combine of bounded size).  The k-th
+        smallest of those is an upper bound of the true k-th smallest, and what
+        lies above it is dropped before deduplicating.  Always exact.
         """
         rows = self.hashed(df, keys, value, prehashed)
-        if len(rows.columns) > len(keys) + 1:  # item metadata needs every row
+        if has_meta(rows):  # item counts need every row
             return self.reduce(rows, keys)
-        bounds = session.materialize(self._bounds(rows, keys), "kmv-bounds")
-        if bounds.count() <= session.BROADCAST_ROW_LIMIT:
-            rows = session.join_small(rows, bounds, keys).where("h <= bound").drop("bound")
-        return distinct_hashes(rows, keys)
+        heavy = self._heavy_keys(rows, keys)
+        if heavy is None:
+            return distinct_hashes(rows, keys)
+        candidates = session.equi_join(rows, F.broadcast(heavy), keys, "left_semi")
+        bounds = session.materialize(self._bounds(candidates, keys), "kmv-bounds")
+        bounded = session.equi_join(rows, F.broadcast(bounds), keys, "left")
+        kept = bounded.where("bound IS NULL OR h <= bound").drop("bound")
+        return distinct_hashes(kept, keys)
+
+    def _heavy_keys(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+        """Keys worth a bound: at most BROADCAST_ROW_LIMIT of them, by arithmetic."""
+        counts = session.materialize(
+            rows.groupBy(*keys).agg(F.count("h").alias("n")), "kmv-counts"
+        )
+        total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+        heavy_from = max(HEAVY_FACTOR * self.k, (total or 0) / session.BROADCAST_ROW_LIMIT)
+        if largest is None or largest <= heavy_from:
+            return None
+        return counts.where(F.col("n") > heavy_from).drop("n")
 
     def state(
         self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
@@ -102,27 +128,30 @@ class KMinValues(Sketch):
         minima = rows.groupBy(*keys, F.pmod("h", F.lit(buckets)).alias("_b")).agg(
             F.min("h").alias("h")
         )
-        top = smallest(minima, keys, self.k, spread=True)
+        top = smallest(minima, keys, self.k)
         kth = F.max(F.when(F.col("rank") == self.k, F.col("h")))
         return top.groupBy(*keys).agg(
             F.coalesce(kth, F.lit(1 << HASH_BITS)).alias("bound")
         )
 
     def trim(self, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return smallest(state, keys, self.k, spread=True).drop("rank")
+        return smallest(state, keys, self.k).drop("rank")
 
     def combine(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         return self.trim(self.reduce(rows, keys), keys)
 
     def lower(self, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-        top = smallest(state.select(*keys, "h"), keys, self.k, spread=True)
+        hashes = state.select(*keys, "h")
+        if has_meta(state):
+            hashes = smallest_per_class(hashes, keys, self.k)
+        top = smallest(hashes, keys, self.k)
         totals = group_agg(top, keys, F.count("h").alias("n"), F.max("h").alias("kth"))
         estimate = kmv_estimate(F.col("n"), F.col("kth"), self.k)
         estimates = totals.withColumn("estimate", estimate).drop("n", "kth")
-        meta = meta_aggregates(state)
-        if not meta:
+        if not has_meta(state):
             return estimates
-        return session.equi_join(estimates, group_agg(state, keys, *meta), list(keys), "inner")
+        meta = group_agg(state, keys, *meta_aggregates(state))
+        return session.equi_join(estimates, meta, keys, "inner")
 
 
 def kmv_overlap(
@@ -137,12 +166,12 @@ def kmv_overlap(
     per_hash = state.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("held_by"))
     members = state.select(*keys, *member).distinct()
     n_members = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
-    top = smallest(per_hash, keys, k, spread=True)
+    top = smallest(smallest_per_class(per_hash, keys, k), keys, k)
     # Rows per held_by level: at most one per member count, then one row per key.
     levels = top.groupBy(*keys, "held_by").agg(
         F.count(F.lit(1)).alias("n"), F.max("h").alias("kth")
     )
-    joined = session.equi_join(levels, n_members, list(keys), "inner")
+    joined = session.equi_join(levels, n_members, keys, "inner")
     totals = joined.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.max("kth").alias("kth"),

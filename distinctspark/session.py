@@ -99,16 +99,10 @@ def join_group_params(
     return rows.join(F.broadcast(heavy), on, how).unionByName(rest.join(light, on, how))
 
 
-def join_small(rows: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join with a per-group table whose size the caller has checked."""
-    return equi_join(rows, F.broadcast(params), list(keys), "inner")
-
-
-def equi_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     if on:
-        return left.join(right, on, how)
+        return left.join(right, list(on), how)
     # No keys: one group.  A constant key keeps this a hash join of a one-row table.
     one = F.lit(1)
-    return (
-        left.withColumn("_one", one).join(right.withColumn("_one", one), "_one", how).drop("_one")
-    )
+    joined = left.withColumn("_one", one).join(right.withColumn("_one", one), "_one", how)
+    return joined.drop("_one")

@@ -178,18 +178,22 @@ def test_saturated_counter_gives_null(spark):
         assert r.saturated and r.estimate is None
 
 
-def test_kmv_pruned_equals_unpruned(spark, monkeypatch):
-    df = numbers(spark, 20000)
+@pytest.mark.parametrize("factor,limit", [(64, 200_000), (1, 200_000), (1, 1)])
+def test_kmv_state_on_every_path(spark, monkeypatch, factor, limit):
+    """No key heavy, all heavy, and only the heaviest: the same k smallest hashes."""
+    i = F.col("id")
+    df = spark.range(20000).select(
+        F.when(i % 2 == 0, F.lit(0)).otherwise(i % 9).alias("key"), i.alias("value")
+    )
     sketch = make_sketch("KMV", k=64)
-    pruned = sorted(map(tuple, sketch.state(df, ["key"], "value").collect()))
-    monkeypatch.setattr(sess, "BROADCAST_ROW_LIMIT", 0)
-    monkeypatch.setattr(kmv.session, "BROADCAST_ROW_LIMIT", 0)
-    assert sorted(map(tuple, sketch.state(df, ["key"], "value").collect())) == pruned
+    monkeypatch.setattr(kmv, "HEAVY_FACTOR", factor)
+    monkeypatch.setattr(sess, "BROADCAST_ROW_LIMIT", limit)
     by_hand = {}
     for r in sketch.hashed(df, ["key"], "value").collect():
         by_hand.setdefault(r.key, set()).add(r.h)
     want = sorted((k, h) for k, hs in by_hand.items() for h in sorted(hs)[:64])
-    assert [t[:2] for t in pruned] == want
+    state = sketch.state(df, ["key"], "value")
+    assert sorted((r.key, r.h) for r in state.collect()) == want
 
 
 def test_overlap_of_known_sets(spark):
