@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from distinctspark.functions import sizing
 from distinctspark.functions.hashing import seeded_hash, trailing_zeros, with_seeds
 from distinctspark.operators.base import Sketch, distinct_hashes, group_agg, meta_aggregates
-from distinctspark.session import join_group_params, materialize
+from distinctspark.session import equi_join, join_group_params, materialize
 
 MARKER = -1
 
@@ -113,7 +113,7 @@ class Bjkst(Sketch):
         meta = meta_aggregates(state)
         if not meta:
             return estimates
-        return estimates.join(group_agg(state, keys, *meta), list(keys))
+        return equi_join(estimates, group_agg(state, keys, *meta), keys, "inner")
 
     def state(
         self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False

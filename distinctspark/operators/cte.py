@@ -22,7 +22,7 @@ from distinctspark.operators.registers import (
     loglog_estimate,
     rank_of,
 )
-from distinctspark.session import join_group_params, materialize
+from distinctspark.session import equi_join, join_group_params, materialize
 
 NONE = -1
 #: Above this expected maximum the default estimator is adaptive counting.
@@ -99,8 +99,8 @@ class CountThenEstimate(Sketch):
             n = sets.count()
             return state_rows(sets if 0 < n <= self.tip else tipped, keys)
         sizes = sets.groupBy(*keys).agg(F.count("h").alias("n"))
-        exact = sets.join(sizes.where(F.col("n") <= self.tip), list(keys), "left_semi")
-        tipped = tipped.join(exact.select(*keys).distinct(), list(keys), "left_anti")
+        exact = equi_join(sets, sizes.where(F.col("n") <= self.tip), keys, "left_semi")
+        tipped = equi_join(tipped, exact.select(*keys).distinct(), keys, "left_anti")
         return state_rows(exact, keys).unionByName(state_rows(tipped, keys))
 
     def combine(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

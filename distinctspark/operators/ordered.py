@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from distinctspark.session import materialize
+from distinctspark.session import equi_join, materialize
 
 
 def running_total(
@@ -38,11 +38,9 @@ def running_total(
     )
     within = Window.partitionBy(*keys, "_part").orderBy(order)
     running = F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        ranged.withColumn("_within", running)
-        .join(offsets, [*keys, "_part"])
-        .withColumn(out, F.col("_within") + F.col("_offset"))
-        .drop("_part", "_within", "_offset")
+    joined = equi_join(ranged.withColumn("_within", running), offsets, [*keys, "_part"], "inner")
+    return joined.withColumn(out, F.col("_within") + F.col("_offset")).drop(
+        "_part", "_within", "_offset"
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from distinctspark.functions.hashing import hash60
 from distinctspark.functions.scalars import relative_error
 from distinctspark.operators.base import Sketch, distinct_hashes
-from distinctspark.session import materialize
+from distinctspark.session import equi_join, materialize
 
 
 def distinct_table(
@@ -43,7 +43,7 @@ def accuracy_report(
     """Long form: keys, name, estimate, exact, rel_error; the input is read once."""
     base = distinct_table(df, keys, value, methods)
     truth = base.groupBy(*keys).agg(F.count("h").alias("exact"))
-    joined = estimates_of(base, keys, methods).join(truth, list(keys))
+    joined = equi_join(estimates_of(base, keys, methods), truth, keys, "inner")
     return joined.withColumn("rel_error", relative_error(F.col("estimate"), F.col("exact")))
 
 

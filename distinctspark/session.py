@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A per-group parameter table is broadcast only up to this many rows (a few
@@ -95,14 +95,23 @@ def join_group_params(
     heavy_from = total / BROADCAST_ROW_LIMIT
     heavy = params.where(F.col(weight) > heavy_from).drop(weight)
     light = params.where(F.col(weight) <= heavy_from).drop(weight)
-    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(heavy), on, how).unionByName(rest.join(light, on, how))
+    rest = equi_join(rows, F.broadcast(heavy.select(*on)), on, "left_anti")
+    return equi_join(rows, F.broadcast(heavy), on, how).unionByName(
+        equi_join(rest, light, on, how)
+    )
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    if on:
-        return left.join(right, list(on), how)
-    # No keys: one group.  A constant key keeps this a hash join of a one-row table.
-    one = F.lit(1)
-    joined = left.withColumn("_one", one).join(right.withColumn("_one", one), "_one", how)
-    return joined.drop("_one")
+    """Join on equal keys where NULL equals NULL, as in a group-by.
+
+    ``how`` is inner, left, left_semi or left_anti; key columns come from ``left``.
+    No keys means one group: a constant key joins the one-row table.
+    """
+    if not on:
+        left, right = left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1))
+        return left.join(right, "_one", how).drop("_one")
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in on]
+    return left.join(renamed, functools.reduce(Column.__and__, same), how).drop(
+        *[f"_right_{k}" for k in on]
+    )

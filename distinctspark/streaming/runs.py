@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +52,9 @@ class Drained:
 
     def watermark_ms(self) -> int:
         """Event-time watermark the stream ended with, epoch ms."""
-        stamps = [p["eventTime"].get("watermark") for p in self.progress if p.get("eventTime")]
-        from datetime import datetime
-
+        stamps = [p.get("eventTime", {}).get("watermark") for p in self.progress]
         parsed = [datetime.fromisoformat(s.replace("Z", "+00:00")) for s in stamps if s]
-        return int(max(p.timestamp() for p in parsed) * 1000) if parsed else 0
+        return max((round(p.timestamp() * 1000) for p in parsed), default=0)
 
 
 def start(
@@ -105,16 +105,10 @@ def drain(
         schema = result.schema
         query = start(result, output, checkpoint)
         query.awaitTermination()
-        progress += [p if isinstance(p, dict) else p.json and _as_dict(p) for p in query.recentProgress]
+        progress += [json.loads(p.json) for p in query.recentProgress]
     return Drained(spark, output, checkpoint, schema, progress)
 
 
-def _as_dict(progress) -> dict:
-    import json
-
-    return json.loads(progress.json)
-
-
 def progress_table(spark: SparkSession, drained: Drained) -> DataFrame:
     """Per micro-batch throughput metrics as rows (one row per batch)."""
     rows = [

@@ -489,6 +489,22 @@ _first = (
 ORACLES["novelty_exact"] = _first.format(slot="h", rows=_nov)
 ORACLES["novelty_lc"] = _first.format(slot="h % 4096", rows=_nov)
 
+_firsts = (
+    "(SELECT event_type, h, min({ts_us: ts_us, event_id: event_id}) AS at FROM "
+    f"{_nov} GROUP BY event_type, h)"
+)
+ORACLES["novelty_kmv"] = (
+    f"WITH f AS {_firsts}, novel AS (SELECT x.at.event_id AS event_id FROM f x LEFT JOIN f y "
+    "ON x.event_type = y.event_type AND y.h < x.h AND y.at < x.at "
+    "GROUP BY x.event_type, x.h, x.at HAVING count(y.h) < 64) "
+    "SELECT event_id, event_type, event_id IN (SELECT event_id FROM novel) AS is_novel FROM events"
+)
+ORACLES["novelty_fm"] = (
+    "SELECT event_id, event_type, bool_or(rn = 1) AS is_novel FROM (SELECT event_id, event_type, "
+    "row_number() OVER (PARTITION BY event_type, s, z ORDER BY ts_us, event_id) AS rn FROM "
+    f"(SELECT *, {tz(seeded('h'))} AS z FROM {_nov}, {seeds(9)})) GROUP BY event_id, event_type"
+)
+
 # -- event sources -----------------------------------------------------------
 
 ORACLES["csv_roundtrip"] = (

@@ -20,8 +20,8 @@ from distinctspark.operators.cte import CountThenEstimate
 from distinctspark.operators.exact import exact_distinct, item_count
 from distinctspark.operators.kmv import kmv_overlap, kmv_overlap_pairs
 from distinctspark.operators.linear import linear_counting_sized
-from distinctspark.operators.novelty import novelty_flag
 from distinctspark.plans import accuracy, reports
+from distinctspark.plans.novelty import novelty_flag
 from distinctspark.plans.registry import approx_distinct, make_sketch, sketch_state
 from distinctspark.plans.windows import flat_window, windowed_distinct
 from distinctspark.session import new_path
@@ -422,6 +422,24 @@ def novelty_lc(spark, folder):
     return found.select("event_id", "event_type", "is_novel")
 
 
+@query
+def novelty_kmv(spark, folder):
+    found = novelty_flag(
+        events(spark, folder), ["event_type"], "cents", ["ts_us", "event_id"],
+        "KMV", k=64, hash="mix",
+    )
+    return found.select("event_id", "event_type", "is_novel")
+
+
+@query
+def novelty_fm(spark, folder):
+    found = novelty_flag(
+        events(spark, folder), ["event_type"], "cents", ["ts_us", "event_id"],
+        "FM", groups=3, hashes=3, hash="mix",
+    )
+    return found.select("event_id", "event_type", "is_novel")
+
+
 # -- event sources -----------------------------------------------------------
 
 

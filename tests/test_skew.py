@@ -83,3 +83,20 @@ def test_cumulative_share_of_a_hot_group(spark):
             running += w
             assert abs(cdf - running / totals[key]) < 1e-12
         assert running == totals[key]
+
+
+@pytest.mark.parametrize("alg", ALL)
+def test_null_keys_are_a_group(spark, alg):
+    df = skewed(spark, 3000).withColumn("key", F.nullif("key", F.lit(0)))
+    sketch = make_sketch(alg, **ALL[alg])
+    found = sketch.count(df, ["key"], "value").collect()
+    assert len(found) == 51 and any(r.key is None for r in found)
+    state = sketch.state(df, ["key"], "value")
+    merged = sketch.estimate(sketch.merge([state, state], ["key"]), ["key"]).collect()
+    pairs = [sorted((str(r.key), r.estimate) for r in rows) for rows in (found, merged)]
+    assert pairs[0] == pairs[1]
+
+
+def test_null_keys_in_medians(spark):
+    df = skewed(spark, 3000).withColumn("key", F.nullif("key", F.lit(0)))
+    assert mean_and_median(df, ["key"], "value").where("key IS NULL").first().n == 1000

@@ -1,9 +1,11 @@
 """Event CSV, missing fields, measurements and their files."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from distinctspark.operators.novelty import novelty_flag
+from distinctspark.functions.hashing import hash60
 from distinctspark.plans import reports
+from distinctspark.plans.novelty import novelty_flag
 from distinctspark.session import new_path
 from distinctspark.sources import events as ev
 from distinctspark.sources import measurements as ms
@@ -120,3 +122,26 @@ def test_novelty_matches_a_replay(spark):
     for r in flagged:
         assert r.is_novel == ((r.key, r.value) not in seen)
         seen.add((r.key, r.value))
+
+
+def test_kmv_novelty_matches_a_replay(spark):
+    df = spark.range(3000).select(
+        "id",
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("key"),  # and a NULL key
+        (F.col("id") * 7 % 1009).alias("value"),
+    )
+    flagged = novelty_flag(df, ["key"], "value", ["id"], "KMV", k=16, hash="mix")
+    hashes = {r.value: r.h for r in df.select("value", hash60("value", "mix").alias("h")).collect()}
+    smallest = {}
+    for r in flagged.orderBy("id").collect():
+        held = smallest.setdefault(r.key, [])
+        h = hashes[r.value]
+        novel = h not in held and (len(held) < 16 or h < held[-1])
+        if novel:
+            smallest[r.key] = sorted([*held, h])[:16]
+        assert r.is_novel == novel, r
+
+
+def test_no_novelty_rule(spark):
+    with pytest.raises(ValueError, match="no novelty rule"):
+        novelty_flag(spark.range(3), [], "id", ["id"], "BJKST")

@@ -110,6 +110,19 @@ def test_dedup_within_watermark(spark):
     assert sorted(map(tuple, drained.result().collect())) == [("a", 100), ("a", 200), ("a", 300)]
 
 
+def test_event_time_from_micros_with_a_small_delay(spark):
+    path = new_path(spark, "in")
+
+    def build(session):
+        source = ev.stream_events(session, path).withColumn("us", F.unix_micros("ts"))
+        timed = runs.event_time(source, "us", delay_ms=10, out="at")
+        return timed.groupBy(F.window("at", "1 second"), "key").agg(F.count("*").alias("n"))
+
+    drained = runs.drain(spark, build, feeder(spark, path, [FIRST]), 1)
+    assert drained.watermark_ms() == 2590
+    assert [r.n for r in drained.result().collect()] == [3]
+
+
 def test_synthetic_stream_is_one_key(spark):
     made = ev.synthetic_stream(spark, 100)
     assert made.isStreaming and made.columns == ["ts", "key", "value"]
