@@ -505,6 +505,12 @@ ORACLES["novelty_fm"] = (
     f"(SELECT *, {tz(seeded('h'))} AS z FROM {_nov}, {seeds(9)})) GROUP BY event_id, event_type"
 )
 
+ORACLES["novelty_bloom"] = (
+    "SELECT event_id, event_type, bool_or(rn = 1) AS is_novel FROM (SELECT event_id, event_type, "
+    "row_number() OVER (PARTITION BY event_type, bit ORDER BY ts_us, event_id) AS rn FROM "
+    f"(SELECT *, {positions('h', 4, 1 << 13)} AS bit FROM {_nov})) GROUP BY event_id, event_type"
+)
+
 # -- event sources -----------------------------------------------------------
 
 ORACLES["csv_roundtrip"] = (

@@ -440,6 +440,15 @@ def novelty_fm(spark, folder):
     return found.select("event_id", "event_type", "is_novel")
 
 
+@query
+def novelty_bloom(spark, folder):
+    found = novelty_flag(
+        events(spark, folder), ["event_type"], "cents", ["ts_us", "event_id"],
+        "BF", bits=1 << 13, k=4, hash="mix",
+    )
+    return found.select("event_id", "event_type", "is_novel")
+
+
 # -- event sources -----------------------------------------------------------
 
 
