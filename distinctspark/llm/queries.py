@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from distinctspark.llm.linededup import drop_repeated_runs
 from distinctspark.llm.minhash import near_duplicates
+from distinctspark.llm.mixing import mix
+from distinctspark.llm.ordinal import fit, grade
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +25,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def sha256(text: str) -> Column:
+    """Lowercase hex digest of a text column; NULL counts as empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = drop_repeated_runs(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
+                      sha256("text").alias("text_sha256"))
+
+
 @query
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    graded = grade(docs, fit(docs, table(spark, folder, "labels")))
+    return graded.select("doc_id", "expected_grade", "p_top", "accepted")
+
+
+@query
+def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
