@@ -19,7 +19,7 @@ SHINGLE = 5
 #: Standard errors below the threshold at which a signature still passes.
 SLACK = 5.0
 #: Star rounds with a changing leader before the exhaustive one.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 class Hashes:
@@ -165,8 +165,8 @@ def near_duplicates(
     Documents of equal sets form a class, and only its smallest doc_id goes on.  Class members
     that share a band are candidates.  Within a bucket, members are compared with a leader; the
     leader changes from round to round, and members already connected to it are left out.  What
-    is still apart after the star rounds is compared pair by pair, across components only, so no
-    link between components is lost and a large group of copies costs stars.  Candidates pass a
+    is still apart after the star rounds is joined by an exact prefix filter, across components
+    only, so no link between components is lost and a large group of copies costs stars.  Candidates pass a
     signature test ``SLACK`` standard errors below the threshold, then the exact test.
 
     A NULL or blank text has no shingles and no links.  Rows with a NULL doc_id are returned with
@@ -218,7 +218,8 @@ def near_duplicates(
                 F.col("rep").alias("a"), F.col("lead.rep").alias("b"),
                 F.col("n_shingles").alias("na"), F.col("lead.n_shingles").alias("nb"))
         else:
-            found = _across(named.join(apart.select("key"), "key"), percent)
+            still = named.join(apart.select("key"), "key").select("rep", "component").distinct()
+            found = _across(still, features, percent)
         found = found.where(
             F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
         found = found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -240,16 +241,35 @@ def near_duplicates(
     return result.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
-def _across(named: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components, of sizes that may be similar.
+def _across(apart: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of ``apart`` (rep, component, n_shingles) that may still be linked.
 
-    Sizes fall in classes of ratio percent/100, so only equal and next classes meet.
+    A prefix filter with positions, exact for the threshold: shingles are ordered from rare to
+    common, and of a linked pair the first shared one stands early in both sets.  Where many
+    copies differ from a common text by shingles of their own, those come first, so the common
+    shingles stand too late to make pairs.  Only pairs of different components come out.
     """
-    size = F.floor(F.log(F.col("n_shingles").cast("double")) / -np.log(percent / 100) + 1e-9)
-    sized = named.withColumn("size", size)
-    a = sized.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"),
-                     F.col("n_shingles").alias("na"),
-                     F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("size"))
-    b = sized.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"),
-                     F.col("n_shingles").alias("nb"), "size")
-    return a.join(b, ["key", "size"]).where("ca < cb").select("a", "b", "na", "nb")
+    sets = features.dropDuplicates(["doc_id"]).join(
+        apart.withColumnRenamed("rep", "doc_id"), "doc_id").select(
+        "doc_id", "component", F.size("shingles").alias("n"), "shingles")
+    sets = materialize(sets, "apart")
+    shingles = sets.select("doc_id", F.explode("shingles").alias("s"))
+    shared = shingles.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = shingles.join(shared, "s").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    ranked = ranked.join(sets.drop("shingles"), "doc_id")
+    rows = ranked.select(
+        "doc_id", "component", "n", F.size("order").alias("m"), F.posexplode("order").alias("k", "o"))
+    # ``rest`` shingles from this one on are all that a pair which meets here first can share;
+    # those the document holds alone stand before its shared ones.
+    rows = rows.select("doc_id", "component", "n", F.col("o.s").alias("s"),
+                       (F.col("m") - F.col("k")).alias("rest"))
+    needs = f"{100 + percent} * rest >= {percent} * (n + "
+    early = rows.where(f"{needs} n * {percent / 100})")
+    least = early.groupBy("s").agg(F.min("n").alias("least"), F.count("*").alias("c"))
+    early = materialize(
+        early.join(least.where("c > 1"), "s").where(f"{needs} least)").drop("least", "c"), "early")
+    a = early.withColumnsRenamed({"doc_id": "a", "component": "ca", "n": "na", "rest": "ra"})
+    b = early.withColumnsRenamed({"doc_id": "b", "component": "cb", "n": "nb", "rest": "rb"})
+    enough = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
+    return a.join(b, "s").where((F.col("ca") < F.col("cb")) & enough).select("a", "b", "na", "nb")

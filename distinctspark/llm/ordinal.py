@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from distinctspark.llm.words import Words, list_array, word_chunks
+from distinctspark.llm.words import Words, list_array, prefix_hashes, word_chunks
 from distinctspark.session import materialize
 
 #: Bound of the labelled sample the model is fitted on; scoring covers every document.
@@ -25,6 +25,8 @@ RATE, DECAY = 0.3, 1e-4
 ACCEPT = 0.5
 GRADES = 3
 
+#: Bytes of the word beginnings that are features beside whole words, for inflected stems.
+PREFIXES = (4, 5, 6)
 _LEVELS = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"!#$%&*+/<=>@\\^_|~")] = True
@@ -32,7 +34,6 @@ _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
-_SHAPES = 6
 
 
 def _shares(words: Words, unique: np.ndarray) -> np.ndarray:
@@ -51,15 +52,19 @@ def _shares(words: Words, unique: np.ndarray) -> np.ndarray:
 
 
 def features(words: Words) -> list[np.ndarray]:
-    """Per row, the sorted distinct feature codes: 32-bit word hashes, then shape codes.
+    """Per row, the sorted distinct feature codes: 32-bit word and prefix hashes, then shapes.
 
     Shape codes lie above 2^32, one per share and level reached, so levels add up.
     """
     cut, found = words.offsets, []
-    codes = words.hashes >> np.uint64(32)
+    hashes = [words.hashes, *(prefix_hashes(words, n) for n in PREFIXES)]
+    codes = np.stack(hashes) >> np.uint64(32)
+    unique = np.zeros(words.last - words.first)
     for i in range(words.last - words.first):
-        found.append(np.unique(codes[cut[i] : cut[i + 1]]))
-    shares = _shares(words, np.array([len(f) for f in found]))
+        own = codes[:, cut[i] : cut[i + 1]]
+        unique[i] = len(np.unique(own[0]))
+        found.append(np.unique(own))
+    shares = _shares(words, unique)
     for i, share in enumerate(shares):
         levels = share[:, None] >= _LEVELS
         kind, level = np.nonzero(levels)

@@ -113,6 +113,16 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int, last: int, lower:
     return Words(first, last, hashes, starts, ends, np.searchsorted(starts, rows), raw, rows)
 
 
+def prefix_hashes(words: Words, length: int, lower: bool = True) -> np.ndarray:
+    """Hash of the first ``length`` bytes of every word."""
+    data = _LOWER[words.data] if lower else words.data
+    up, down = _Powers.of(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=prefix[1:])
+    ends = np.minimum(words.starts + length, words.ends)
+    return mix((prefix[ends] - prefix[words.starts]) * down[words.starts] - np.uint64(length))
+
+
 def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of its first word) of every window of ``k`` words within a row."""
     h = words.hashes
