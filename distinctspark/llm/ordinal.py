@@ -19,8 +19,10 @@ from distinctspark.session import materialize
 TRAIN_ROWS = 20_000
 #: A hashed word is a feature if so many sampled documents hold it.
 MIN_DOCS = 20
-SHARDS, ROUNDS, EPOCHS, BATCH = 8, 5, 4, 32
-RATE, DECAY = 0.3, 1e-4
+#: ... and if the mean grade of those differs from the sample's by so many standard errors.
+MIN_Z = 6.0
+SHARDS, ROUNDS, EPOCHS, BATCH = 8, 8, 6, 32
+RATE, DECAY = 1.0, 1e-6
 #: A document is accepted if it has the top grade at least this probably.
 ACCEPT = 0.5
 GRADES = 3
@@ -116,7 +118,6 @@ def _step(model: Ordinal) -> Callable[[pd.DataFrame], pd.DataFrame]:
             at = np.minimum(np.searchsorted(model.codes, flat), len(model.codes) - 1)
             rows.append(at[model.codes[at] == flat])
         grade = shard["grade"].to_numpy()
-        g2w, g2c = np.full(len(w), 1e-2), np.full(len(cuts), 1e-2)
         rng = np.random.Generator(np.random.PCG64(11))
         for _ in range(EPOCHS):
             order = rng.permutation(len(rows))
@@ -139,10 +140,8 @@ def _step(model: Ordinal) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 np.add.at(gc, y, up / len(pick))
                 np.add.at(gc, y + 1, -down / len(pick))
                 gc = gc[1:-1]
-                g2w += gw * gw
-                g2c += gc * gc
-                w -= RATE * gw / np.sqrt(g2w)
-                cuts = np.maximum.accumulate(cuts - RATE * gc / np.sqrt(g2c))
+                w -= RATE * gw
+                cuts = np.maximum.accumulate(cuts - RATE * gc)
         return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "n": [len(rows)],
                              "weights": [w], "cuts": [cuts]})
 
@@ -166,8 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ord
         F.broadcast(sample.drop("order")), "doc_id").select("doc_id", "grade", "text")
     table = materialize(
         texts.mapInArrow(_featurise, "doc_id long, grade int, codes array<long>"), "labelled")
-    common = table.select(F.explode("codes").alias("code")).groupBy("code").agg(
-        F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    mean, spread = table.agg(F.avg("grade"), F.stddev_pop("grade")).first()
+    common = table.select("grade", F.explode("codes").alias("code")).groupBy("code").agg(
+        F.count("*").alias("n"), F.sum("grade").alias("sum")).where(F.col("n") >= MIN_DOCS)
+    if spread:  # with one grade only, nothing tells documents apart
+        z = (F.col("sum") - F.col("n") * mean) / (F.sqrt("n") * spread)
+        common = common.where(F.abs(z) >= MIN_Z)
     codes = np.sort(np.array([r.code for r in common.collect()], dtype=np.int64)).view(np.uint64)
     if len(codes) == 0:
         return Ordinal()
