@@ -11,6 +11,7 @@ from distinctspark.llm.linededup import drop_repeated_runs
 from distinctspark.llm.minhash import near_duplicates
 from distinctspark.llm.mixing import mix
 from distinctspark.llm.ordinal import fit, grade
+from distinctspark.llm.pieces import decode, encode, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +50,16 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", "p_top", "accepted")
 
 
+@query
+def op9_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = load()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = decode(encode(docs, pieces), pieces)
+    lossless = F.coalesce("text", F.lit("")) == F.coalesce("decoded", F.lit(""))
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_pieces"), lossless.alias("lossless"),
+                        sha256("decoded").alias("decoded_sha256"))
+
+
 @query
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"))
