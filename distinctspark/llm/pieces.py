@@ -308,7 +308,7 @@ def encode(docs: DataFrame, pieces: Pieces, seed: int = 0) -> DataFrame:
     All columns pass through; a column ``ids`` is replaced.
     """
     docs = docs.drop("ids")
-    schema = T.StructType(list(docs.schema)).add("ids", "array<int>")
+    schema = T.StructType(list(docs.schema)).add("ids", T.ArrayType(T.IntegerType()))
     names = docs.columns
     return docs.mapInArrow(_encoder(names.index("doc_id"), names.index("text"), pieces, seed), schema)
 
