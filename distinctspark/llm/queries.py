@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from distinctspark.llm.chaining import fuzzy_passages
 from distinctspark.llm.linededup import drop_repeated_runs
 from distinctspark.llm.minhash import near_duplicates
 from distinctspark.llm.mixing import mix
@@ -50,6 +51,11 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", "p_top", "accepted")
 
 
+@query
+def op8_fuzzy_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy_passages(table(spark, folder, "documents"))
+
+
 @query
 def op9_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     pieces = load()
