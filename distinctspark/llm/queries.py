@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from distinctspark.llm.chaining import fuzzy_passages
+from distinctspark.llm.html import extract_text
 from distinctspark.llm.linededup import drop_repeated_runs
 from distinctspark.llm.minhash import near_duplicates
 from distinctspark.llm.mixing import mix
@@ -57,6 +58,12 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", "p_top", "accepted")
 
 
+@query
+def op7_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    pages = extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op8_fuzzy_passages(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_passages(table(spark, folder, "documents"))
