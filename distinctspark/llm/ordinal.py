@@ -97,13 +97,27 @@ class Ordinal:
         return np.bincount(row[hit], weights=self.weights[at[hit]], minlength=len(rows))
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk in word_chunks(batch.column(2)):
-            rows = features(chunk)
-            own = batch.slice(chunk.first, len(rows))
-            yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), list_array(rows)], ["doc_id", "grade", "codes"])
+def _featurise(known: np.ndarray | None) -> Callable:
+    """(doc_id, grade, text) rows to (doc_id, grade, codes); with ``known``, to places in it."""
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in word_chunks(batch.column(2)):
+                rows = features(chunk)
+                if known is not None:
+                    rows = [_places(known, r) for r in rows]
+                own = batch.slice(chunk.first, len(rows))
+                kind = pa.int64() if known is None else pa.int32()
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), list_array(rows, kind)],
+                    ["doc_id", "grade", "codes"])
+
+    return featurise
+
+
+def _places(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return at[known[at] == codes].astype(np.int32)
 
 
 def _step(model: Ordinal) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -112,11 +126,7 @@ def _step(model: Ordinal) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def train(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("order", kind="stable")
         w, cuts = model.weights.copy(), model.cuts.copy()
-        rows = []
-        for codes in shard["codes"]:
-            flat = np.asarray(codes, dtype=np.int64).view(np.uint64)
-            at = np.minimum(np.searchsorted(model.codes, flat), len(model.codes) - 1)
-            rows.append(at[model.codes[at] == flat])
+        rows = [np.asarray(codes, dtype=np.int64) for codes in shard["codes"]]
         grade = shard["grade"].to_numpy()
         rng = np.random.Generator(np.random.PCG64(11))
         for _ in range(EPOCHS):
@@ -160,12 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ord
     grade = (F.col("quality") + 1 - F.col("toxic")).cast("int")
     sample = labels.select(F.col("doc_id").cast("long"), grade.alias("grade"), order.alias("order"))
     sample = sample.where(f"doc_id IS NOT NULL AND grade BETWEEN 0 AND {GRADES - 1}")
-    sample = sample.orderBy("order", "doc_id", "grade").limit(train_rows)
+    sample = materialize(sample.orderBy("order", "doc_id", "grade").limit(train_rows), "sample")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(
         F.broadcast(sample.drop("order")), "doc_id").select("doc_id", "grade", "text")
-    table = materialize(
-        texts.mapInArrow(_featurise, "doc_id long, grade int, codes array<long>"), "labelled")
-    mean, spread = table.agg(F.avg("grade"), F.stddev_pop("grade")).first()
+    table = texts.mapInArrow(_featurise(None), "doc_id long, grade int, codes array<long>")
+    mean, spread = texts.agg(F.avg("grade"), F.stddev_pop("grade")).first()
     common = table.select("grade", F.explode("codes").alias("code")).groupBy("code").agg(
         F.count("*").alias("n"), F.sum("grade").alias("sum")).where(F.col("n") >= MIN_DOCS)
     if spread:  # with one grade only, nothing tells documents apart
@@ -175,7 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ord
     if len(codes) == 0:
         return Ordinal()
     model = Ordinal(codes, np.zeros(len(codes)), np.linspace(-2.0, 0.0, GRADES - 1))
+    table = texts.mapInArrow(_featurise(codes), "doc_id long, grade int, codes array<int>")
     shards = table.withColumn("order", order).withColumn("shard", F.expr(f"pmod(order, {SHARDS})"))
+    shards = materialize(shards, "labelled")
     for _ in range(ROUNDS):
         parts = shards.groupBy("shard").applyInPandas(
             _step(model), "shard int, n long, weights array<double>, cuts array<double>")
