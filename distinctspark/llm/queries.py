@@ -14,6 +14,7 @@ from distinctspark.llm.minhash import near_duplicates
 from distinctspark.llm.mixing import mix
 from distinctspark.llm.ordinal import fit, grade
 from distinctspark.llm.pieces import decode, encode, load
+from distinctspark.llm.pii import personal_data
 from distinctspark.llm.syncmers import fingerprints
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,11 @@ def op3_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(table(spark, folder, "documents"))
 
 
+@query
+def op4_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
