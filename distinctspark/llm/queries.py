@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from distinctspark.llm.chaining import fuzzy_passages
 from distinctspark.llm.html import extract_text
+from distinctspark.llm.kmeans_tree import nearest_neighbours
 from distinctspark.llm.linededup import drop_repeated_runs
 from distinctspark.llm.minhash import near_duplicates
 from distinctspark.llm.mixing import mix
@@ -42,6 +43,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       sha256("text").alias("text_sha256"))
 
 
+@query
+def op2_kmeans_tree_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op3_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(table(spark, folder, "documents"))
