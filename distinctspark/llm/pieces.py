@@ -15,7 +15,7 @@ from distinctspark.llm.words import list_array, mix
 #: Where the public vocabulary lies; a parameter of ``load``.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text worked on at once, in characters; a longer document is taken alone.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 MARK = 0x2581  # stands for a space within pieces
 _LITERAL = np.uint32(0xFFFFFFFF)  # a mark that was in the text itself
 _BASE = np.uint64(0x9E3779B97F4A7C15)
