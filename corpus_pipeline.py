@@ -7,27 +7,62 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from distinctspark.llm.linededup import drop_repeated_runs
 from distinctspark.llm.minhash import near_duplicates
+from distinctspark.llm.mixing import mixed_documents
+from distinctspark.llm.ordinal import fit, grade
+from distinctspark.llm.pieces import encode, load
 from distinctspark.session import new_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents it rejects go."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return grade(docs, model).where("accepted").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later copies of line runs go, and documents of which nothing else was left."""
+    cut = drop_repeated_runs(docs)
+    empty = (F.col("n_removed") > 0) & ~F.col("text").rlike("[^ \\t-\\r]")
+    cut = cut.where(~empty | F.col("text").isNull())
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each group stays."""
     near = near_duplicates(docs)
     gone = near.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: every document as often as its source's schedule takes it, cut where it stops."""
+    mixed = mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding: sampled ids in place of the text."""
+    return encode(docs, load()).drop("text")
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", drop_repeated_lines),
     ("minhash_near_dedup", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
 ]
 
+#: Hashing, model fitting and sampling have no SQL; the stages are tested one by one instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each reads what the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, name)

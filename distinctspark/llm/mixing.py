@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from distinctspark.session import join_group_params, materialize
@@ -22,18 +22,18 @@ GOLDEN = 2654435769
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, h): words of each whole text, and where its shuffle puts it.
-
-    ``h`` is 60 bits of the MD5 of seed, doc_id and text, so a rerun shuffles alike.
-    """
-    text = F.coalesce("text", F.lit(""))
+def _place(seed: int) -> Column:
+    """60 bits of the MD5 of seed, doc_id and text: where the shuffle puts a document."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                    F.lit(":"), text)
-    h = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
-    return docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"),
-        F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"), h.alias("h"))
+                    F.lit(":"), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(doc_id, source, size, h): words of each whole text, and its place in the shuffle."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"),
+                       words.alias("size"), _place(seed).alias("h"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -157,3 +157,28 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     columns = ["doc_id", "h", "source", "size", "source_size", "target", "taken"]
     return full.select(*columns).unionByName(
         empty.withColumn("taken", F.lit(0).cast("long")).select(*columns))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: repeated, left out, or cut in the last copy.
+
+    A source's last round over its blocks stops within a document; that copy keeps its first
+    words only.  Rows equal in doc_id and text are taken as often as all of them together, with
+    the other columns of one of them.  Documents without words are left out.
+    """
+    # Sources are part of the key: equal rows of two sources are taken by each source's measure.
+    plan = mix(docs, seed).where("taken > 0").groupBy("doc_id", "h", "source").agg(
+        F.sum(F.expr("taken div size")).alias("_copies"), F.max(F.expr("taken % size")).alias("_cut"))
+    plan = plan.withColumnsRenamed({"doc_id": "_id", "h": "_h", "source": "_source"})
+    keyed = docs.withColumn("_h", _place(seed)).withColumn("_id", F.col("doc_id").cast("long"))
+    one = plan.join(keyed, (keyed["_h"] == plan["_h"]) & keyed["_id"].eqNullSafe(plan["_id"])
+                    & keyed["source"].cast("string").eqNullSafe(plan["_source"]))
+    one = one.drop(plan["_h"]).drop(plan["_id"])
+    whole = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("_copies").cast("int")))
+    cuts = F.concat(F.coalesce(whole, F.array().cast("array<bigint>")),
+                    F.when(F.col("_cut") > 0, F.array("_cut")).otherwise(F.array().cast("array<bigint>")))
+    copies = one.withColumn("_cut", F.explode(cuts))
+    # Parts are a word with the white space before it.
+    parts = F.split("text", r"(?<=[^ \t-\r])(?=[ \t-\r])")
+    text = F.when(F.col("_cut") > 0, F.array_join(F.slice(parts, F.lit(1), F.col("_cut").cast("int")), ""))
+    return copies.withColumn("text", text.otherwise(F.col("text"))).select(*docs.columns)
