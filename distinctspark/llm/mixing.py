@@ -166,14 +166,14 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     words only.  Rows equal in doc_id and text are taken as often as all of them together, with
     the other columns of one of them.  Documents without words are left out.
     """
-    # Sources are part of the key: equal rows of two sources are taken by each source's measure.
-    plan = mix(docs, seed).where("taken > 0").groupBy("doc_id", "h", "source").agg(
+    key = [F.col("h").alias("_h"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+           F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null")]
+    names = ["_h", "_id", "_source", "_null"]
+    plan = mix(docs, seed).where("taken > 0").groupBy(*key).agg(
         F.sum(F.expr("taken div size")).alias("_copies"), F.max(F.expr("taken % size")).alias("_cut"))
-    plan = plan.withColumnsRenamed({"doc_id": "_id", "h": "_h", "source": "_source"})
-    keyed = docs.withColumn("_h", _place(seed)).withColumn("_id", F.col("doc_id").cast("long"))
-    one = plan.join(keyed, (keyed["_h"] == plan["_h"]) & keyed["_id"].eqNullSafe(plan["_id"])
-                    & keyed["source"].cast("string").eqNullSafe(plan["_source"]))
-    one = one.drop(plan["_h"]).drop(plan["_id"])
+    keyed = docs.select(_place(seed).alias("_h"), *key[1:], *docs.columns)
+    # Dealt out by the key once, for both steps.
+    one = keyed.dropDuplicates(names).join(plan, names)
     whole = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("_copies").cast("int")))
     cuts = F.concat(F.coalesce(whole, F.array().cast("array<bigint>")),
                     F.when(F.col("_cut") > 0, F.array("_cut")).otherwise(F.array().cast("array<bigint>")))
