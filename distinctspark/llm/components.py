@@ -11,7 +11,7 @@ from distinctspark.session import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every neighbour larger than a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return (
         both.join(least, "u").where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v): the least node reachable.
 
     Each half step is a group-by with map-side minima and a join that Spark may split where a
-    node is hot; no neighbour list is ever gathered.  Edges are written after each full step, so
+    node is hot (minima are written first, so both sides of it are dealt out anew); no neighbour
+    list is ever gathered.  Edges are written after each full step, so
     a lost executor costs one step.  NULL ends and loops are ignored; no links give no rows.
     """
     edges = materialize(links.select("u", "v").where("u != v").distinct(), "edges")

@@ -66,7 +66,9 @@ def later_copies(array: DataFrame) -> DataFrame:
     """
     at = F.struct("_d", "_t", "i")
     first = array.groupBy("r").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    copies = array.join(first.where("n > 1"), "r").where(at != F.col("first"))
+    # Written, so that the join deals both sides out anew and Spark may split a common run.
+    first = materialize(first.where("n > 1"), "originals")
+    copies = array.join(first, "r").where(at != F.col("first"))
     return copies.groupBy("_d", "_t").agg(F.collect_set("i").alias("_starts"))
 
 

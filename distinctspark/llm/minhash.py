@@ -195,8 +195,11 @@ def near_duplicates(
     links = materialize(copies.distinct(), "copies")
 
     held = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    # Group tables are written before they are joined back: the join then deals both sides out
+    # anew, and Spark may split a hot key.
     shared = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(held.join(shared.select("key"), "key"), "buckets")
+    shared = materialize(shared.select("key"), "shared")
+    buckets = materialize(held.join(shared, "key"), "buckets")
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     features = materialize(
         texts.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(
@@ -213,6 +216,7 @@ def near_duplicates(
         apart = named.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), lead
         ).where("low != high")
+        apart = materialize(apart, "leaders")
         if step < STAR_ROUNDS:
             found = named.join(apart, "key").where("component != lead.component").select(
                 F.col("rep").alias("a"), F.col("lead.rep").alias("b"),
@@ -255,6 +259,7 @@ def _across(apart: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     sets = materialize(sets, "apart")
     shingles = sets.select("doc_id", F.explode("shingles").alias("s"))
     shared = shingles.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = materialize(shared, "shared")
     ranked = shingles.join(shared, "s").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     ranked = ranked.join(sets.drop("shingles"), "doc_id")
@@ -267,8 +272,9 @@ def _across(apart: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     needs = f"{100 + percent} * rest >= {percent} * (n + "
     early = rows.where(f"{needs} n * {percent / 100})")
     least = early.groupBy("s").agg(F.min("n").alias("least"), F.count("*").alias("c"))
+    least = materialize(least.where("c > 1"), "least")
     early = materialize(
-        early.join(least.where("c > 1"), "s").where(f"{needs} least)").drop("least", "c"), "early")
+        early.join(least, "s").where(f"{needs} least)").drop("least", "c"), "early")
     a = early.withColumnsRenamed({"doc_id": "a", "component": "ca", "n": "na", "rest": "ra"})
     b = early.withColumnsRenamed({"doc_id": "b", "component": "cb", "n": "nb", "rest": "rb"})
     enough = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
