@@ -22,6 +22,8 @@ CALIBRATION = 200
 TARGET = 0.97
 #: Rows of a leaf, and queries, that are compared at once.
 BLOCK, QUERIES = 96, 256
+#: Found rows that wait in a search task to be joined.
+HELD = 1 << 20
 ITERATIONS = 12
 
 
@@ -189,22 +191,54 @@ def _router(tree: Tree, sizes: np.ndarray, visits: int, k: int) -> Callable:
 
 
 def _searcher(k: int) -> Callable:
-    """(queries, block) rows of one leaf to the nearest of each query within the block."""
+    """(queries, block) rows of one leaf to the nearest of each query.
+
+    A task joins what its blocks give a query before it is shuffled, so a query leaves a task with
+    about ``k`` rows, not ``k`` of every block.  At most HELD rows wait in a task.
+    """
 
     def unpack(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         ids, vectors = cell.values.field(0), cell.values.field(1)
         return ids.to_numpy(), _matrix(vectors)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, fresh, n_kept, n_fresh = [], [], 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 query_ids, queries = unpack(batch.column(0)[i])
                 ids, rows = unpack(batch.column(1)[i])
-                yield _batch(_top(query_ids, ids, _nearest(queries, rows), k))
+                found = _batch(_top(query_ids, ids, _nearest(queries, rows), k))
+                fresh.append(found)
+                n_fresh += found.num_rows
+                if n_fresh >= max(n_kept, HELD // 8):
+                    kept, fresh, n_fresh = [_joined(kept + fresh, k)], [], 0
+                    n_kept = kept[0].num_rows
+                    if n_kept > HELD // 2:
+                        yield from kept
+                        kept, n_kept = [], 0
+        if kept or fresh:
+            yield _joined(kept + fresh, k)
 
     return search
 
 
+def _joined(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """The ``k`` nearest different rows of each query among these."""
+    query, vec, score = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
+    order = np.lexsort((vec, score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    if len(query):
+        same = (query[1:] == query[:-1]) & (vec[1:] == vec[:-1]) & (score[1:] == score[:-1])
+        new = np.append(True, ~same)
+        query, vec, score = query[new], vec[new], score[new]
+        starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        sizes = np.diff(np.append(starts, len(query)))
+        near = np.arange(len(query)) - np.repeat(starts, sizes) < k
+        query, vec, score = query[near], vec[near], score[near]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     near = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = found.dropDuplicates(["query_id", "vec_id"])
