@@ -37,7 +37,7 @@ BEST_K = (1, 1, 1, 2, 3, 3, 4, 5, 5, 6, 7, 8, 8, 9, 10, 10, 11, 12, 12, 13, 14)
 BLOOM_MIN_BITS, BLOOM_MAX_BITS, BLOOM_MAX_K = 2, 15, 8
 
 #: Upper end of the linear-counter length search.
-LC_SEARCH_STEPS = 40
+LC_SEARCH_STEPS = 61
 
 
 def pow2_half(n: int) -> int:
@@ -180,7 +180,7 @@ def linear_bits_for_error(n: Column, error: float | Column) -> Column:
     group solves its own inequality on its own row: no candidate grid, no join.
     """
     eps = F.lit(error) if isinstance(error, float) else error
-    x = n.cast("double")
+    x = F.greatest(n, F.lit(1)).cast("double")  # no values need no more than one
 
     def enough(length: Column) -> Column:
         t = x / length

@@ -21,8 +21,9 @@ from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from distinctspark.functions.hashing import HASH_KINDS, hash60
+from distinctspark.functions.hashing import HASH_BITS, HASH_KINDS, hash60
 
 #: Window/item metadata carried through every step when present.
 META = {
@@ -66,10 +67,13 @@ class Sketch:
     # -- the steps -----------------------------------------------------------
 
     def hashed(
-        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
+        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool | int = False
     ) -> DataFrame:
         df, value = named_value(df, value)
-        h = F.col(value).cast("long") if prehashed else hash60(value, self.hash)
+        kind = df.schema[value].dataType
+        if (prehashed or self.hash == "mix") and not isinstance(kind, T.IntegralType):
+            raise TypeError(f"{value} is {kind.simpleString()}; integers are needed here")
+        h = given_hash(value, prehashed) if prehashed else hash60(value, self.hash)
         meta = [c for c in META if c in df.columns]
         return df.where(F.col(value).isNotNull()).select(*keys, *meta, h.alias("h"))
 
@@ -83,13 +87,13 @@ class Sketch:
         return rows.groupBy(*by).agg(*aggs) if aggs else rows.select(*by).distinct()
 
     def state(
-        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
+        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool | int = False
     ) -> DataFrame:
         """Mergeable state of every key."""
         return self.sign(self.partial(df, keys, value, prehashed))
 
     def partial(
-        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
+        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool | int = False
     ) -> DataFrame:
         """State without the parameter signature.
 
@@ -103,7 +107,7 @@ class Sketch:
         df: DataFrame,
         keys: Sequence[str],
         value: str | Column,
-        prehashed: bool = False,
+        prehashed: bool | int = False,
         dedup: bool = True,
     ) -> DataFrame:
         """hashed -> expand -> reduce; lazy, and valid on streams too."""
@@ -146,15 +150,32 @@ class Sketch:
         return self.reduce(rows, keys)
 
     def estimate(self, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return self.lower(self.checked(state), keys)
+        """Estimates of a state table; rows appended without a merge are merged first."""
+        return self.lower(self.combine(self.checked(state), keys), keys)
 
     def count(
-        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool = False
+        self, df: DataFrame, keys: Sequence[str], value: str | Column, prehashed: bool | int = False
     ) -> DataFrame:
         """Rows in, one estimate per key out."""
         return self.lower(self.partial(df, keys, value, prehashed), keys)
 
 
+def given_hash(value: str, prehashed: bool | int) -> Column:
+    """60 bits of a given hash: the value itself, or the top bits of one of 64 bits.
+
+    ``prehashed=64`` declares signed or unsigned 64-bit hashes.  ``True`` declares 60 bits, and a
+    value outside them is an error.
+    """
+    column = F.col(value).cast("long")
+    if prehashed is not True:
+        if prehashed != 64:
+            raise ValueError("prehashed is True for 60-bit hashes, or 64")
+        return F.shiftrightunsigned(column, 64 - HASH_BITS)
+    fits = (column >= 0) & (column < 1 << HASH_BITS)
+    message = F.concat(F.lit("not a 60-bit hash: "), column.cast("string"))
+    return F.when(fits, column).otherwise(F.raise_error(message).cast("long"))
+
+
 def named_value(df: DataFrame, value: str | Column) -> tuple[DataFrame, str]:
     """``df`` with the value as a named column."""
     if isinstance(value, str):

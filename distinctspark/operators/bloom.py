@@ -89,15 +89,13 @@ class BloomFilter(Sketch):
         word = F.floor(F.col("bit") / WORD_BITS).cast("int")
         mask = F.call_function("shiftleft", one, F.pmod("bit", F.lit(WORD_BITS)).cast("int"))
         words = self.checked(state).groupBy(word.alias("w")).agg(F.bit_or(mask).alias("mask"))
-        by_word = F.map_from_entries(F.collect_list(F.struct("w", "mask")))
+        every = df.sparkSession.range(n_words).select(F.col("id").cast("int").alias("w"))
+        filled = every.join(words, "w", "left").select(
+            F.struct("w", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")).alias("word")
+        )
         packed = (
-            words.agg(by_word.alias("m"))
-            .select(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(n_words - 1)),
-                    lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")),
-                )
-            )
+            filled.agg(F.sort_array(F.collect_list("word")).alias("words"))
+            .select(F.col("words.mask"))
             .scalar()
         )
         df, name = named_value(df, value)
@@ -120,7 +118,7 @@ class BloomFilter(Sketch):
             rows.select("_h").distinct().select("_h", F.posexplode(positions).alias("i", "bit"))
         )
         passing = (
-            probes.join(self.checked(state).select("bit"), "bit")
+            probes.join(self.checked(state).select("bit").distinct(), "bit")
             .groupBy("_h")
             .agg(F.count("i").alias("n"))
             .where(F.col("n") == self.k)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from distinctspark.session import equi_join, materialize
 
@@ -52,6 +53,9 @@ def cumulative_share(df: DataFrame, keys: Sequence[str], order: str, weight: str
 
 def mean_and_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean and exact median per key, by selection over running counts."""
+    exact = isinstance(df.schema[value].dataType, T.IntegralType)
+    # Sums of products of integers can pass 64 bits.
+    wide = F.col(value).cast("decimal(20,0)" if exact else "double")
     counted = df.where(F.col(value).isNotNull()).withColumn("_n", F.lit(1).cast("long"))
     ranks = running_total(counted, keys, value, "_n")
     first_rank = F.col("running") - F.col("_n") + 1
@@ -66,14 +70,14 @@ def mean_and_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
         ranks.groupBy(*keys)
         .agg(
             F.sum("_n").alias("n"),
-            F.sum(F.col(value) * F.col("_n")).alias("_sum"),
+            F.sum((wide * F.col("_n")).cast("decimal(38,0)" if exact else "double")).alias("_sum"),
             at(low).alias("_low"),
             at(high).alias("_high"),
         )
         .select(
             *keys,
             "n",
-            (F.col("_sum") / F.col("n")).alias("mean"),
-            ((F.col("_low") + F.col("_high")) / F.lit(2.0)).alias("median"),
+            (F.col("_sum").cast("double") / F.col("n")).alias("mean"),
+            (F.col("_low") / F.lit(2.0) + F.col("_high") / F.lit(2.0)).alias("median"),
         )
     )

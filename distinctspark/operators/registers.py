@@ -6,6 +6,7 @@ per key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import ClassVar
@@ -17,41 +18,6 @@ from distinctspark.functions import sizing
 from distinctspark.functions.hashing import HASH_BITS, leading_rank
 from distinctspark.operators.base import Sketch, group_agg, meta_aggregates
 
-# LogLog bias correction m*alpha_m for m = 2^k, k = 0..31.
-LOGLOG_ALPHA_M = (
-    0,
-    0.44567926005415,
-    1.2480639342271,
-    2.8391255240079,
-    6.0165231584811,
-    12.369319965552,
-    25.073991603109,
-    50.482891762521,
-    101.30047482549,
-    202.93553337953,
-    406.20559693552,
-    812.74569741657,
-    1625.8258887309,
-    3251.9862249084,
-    6504.3071471860,
-    13008.949929672,
-    26018.222470181,
-    52036.684135280,
-    104073.41696276,
-    208139.24771523,
-    416265.57100022,
-    832478.53851627,
-    1669443.2499579,
-    3356902.8702907,
-    6863377.8429508,
-    11978069.823687,
-    31333767.455026,
-    52114301.457757,
-    72080129.928986,
-    68945006.880409,
-    31538957.552704,
-    3299942.4347441,
-)
 # HyperLogLog alpha for m = 16, 32, 64.
 HLL_ALPHA_SMALL = {4: 0.673, 5: 0.697, 6: 0.709}
 #: Share of empty buckets at which adaptive counting switches to LogLog.
@@ -67,13 +33,32 @@ def rank_of(h: Column, p: int) -> Column:
     return leading_rank(h.bitwiseAND((1 << width) - 1), width).cast("int")
 
 
+def loglog_alpha_m(p: int) -> float:
+    """m * alpha_m = m * (gamma(-1/m) * (1 - 2^(1/m)) / ln 2)^-m, for m = 2^p registers.
+
+    gamma(-1/m) = -m * gamma(1 - 1/m), so the base is gamma(1 - e) * (expm1(x) / x) with e = 1/m and
+    x = ln 2 / m.  Both factors are near 1; for large m their logarithms come from series, since
+    rounding is raised to the m-th power too.
+    """
+    m = 1 << p
+    if m == 1:
+        return 0.0
+    e, x = 1 / m, math.log(2) / m
+    if p < 8:
+        log = math.lgamma(1 - e) + math.log(math.expm1(x) / x)
+    else:
+        euler, zeta3 = 0.5772156649015329, 1.2020569031595942
+        log = euler * e + math.pi**2 / 12 * e**2 + zeta3 / 3 * e**3 + x / 2 + x**2 / 24
+    return m * math.exp(-m * log)
+
+
 def hll_alpha(p: int) -> float:
     return HLL_ALPHA_SMALL.get(p, 0.7213 / (1 + 1.079 / (1 << p)))
 
 
 def loglog_estimate(reg_sum: Column, p: int) -> Column:
     m = 1 << p
-    return F.floor(F.lit(LOGLOG_ALPHA_M[p]) * F.pow(F.lit(2.0), reg_sum / F.lit(float(m))))
+    return F.floor(F.lit(loglog_alpha_m(p)) * F.pow(F.lit(2.0), reg_sum / F.lit(float(m))))
 
 
 def hll_estimate(inverse_sum: Column, touched: Column, p: int) -> Column:

@@ -85,10 +85,14 @@ def read_measurements(spark: SparkSession, path: str, schema: str) -> DataFrame:
         F.nullif(F.regexp_extract(source, r"run_name=([^/]+)/", 1), F.lit("")),
         F.regexp_extract(source, r"([^/]+)\.csv$", 1),
     )
-    parts = F.split("_name", "_")
+    # The distribution may hold underscores, so the others are read from both ends.
+    parts, n = F.split("_name", "_"), F.size(F.split("_name", "_"))
+    values = [F.get(parts, F.lit(i)) for i in range(3)]
+    dist = F.array_join(F.slice(parts, F.lit(4), F.greatest(n - 5, F.lit(0))), "_")
+    values += [F.when(n >= 6, dist), F.when(n >= 6, F.get(parts, n - 2)), F.when(n >= 6, F.get(parts, n - 1))]
     return (
         files.withColumn("_name", name)
-        .withColumns({p: F.get(parts, F.lit(i)) for i, p in enumerate(RUN_PARTS)})
+        .withColumns(dict(zip(RUN_PARTS, values, strict=True)))
         .drop("_name")
     )
 

@@ -10,7 +10,7 @@ import math
 
 from distinctspark.functions import sizing
 from distinctspark.functions.hashing import MIX_ROUNDS
-from distinctspark.operators.registers import HLL_ALPHA_SMALL, LOGLOG_ALPHA_M
+from distinctspark.operators.registers import HLL_ALPHA_SMALL
 from distinctspark.workloads.queries import (
     DISPATCH,
     ESTIMATES,
@@ -27,6 +27,42 @@ EVENTS = (
     "(SELECT *, epoch_us(ts) AS ts_us, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"
 )
 
+# LogLog bias correction m*alpha_m for m = 2^k, k = 0..31.
+LOGLOG_ALPHA_M = (
+    0,
+    0.44567926005415,
+    1.2480639342271,
+    2.8391255240079,
+    6.0165231584811,
+    12.369319965552,
+    25.073991603109,
+    50.482891762521,
+    101.30047482549,
+    202.93553337953,
+    406.20559693552,
+    812.74569741657,
+    1625.8258887309,
+    3251.9862249084,
+    6504.3071471860,
+    13008.949929672,
+    26018.222470181,
+    52036.684135280,
+    104073.41696276,
+    208139.24771523,
+    416265.57100022,
+    832478.53851627,
+    1669443.2499579,
+    3356902.8702907,
+    6863377.8429508,
+    11978069.823687,
+    31333767.455026,
+    52114301.457757,
+    72080129.928986,
+    68945006.880409,
+    31538957.552704,
+    3299942.4347441,
+)
+
 
 # -- hashes ------------------------------------------------------------------
 
