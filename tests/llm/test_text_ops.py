@@ -239,6 +239,31 @@ def test_passages_cover_every_shared_run(spark, odd_rows):
     assert chaining.fuzzy_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_whose_parts_stand_in_other_documents(spark):
+    rng = random.Random(16)
+    rows, words = [], {}
+    for g in range(0, 200, 10):
+        parts = [prose(rng, rng.randint(30, 60)) for _ in range(2 + g % 3)]
+        for i, part in enumerate(parts):
+            rows.append((g + i, f"{prose(rng, 20)} {part} {prose(rng, 20)}", "a"))
+        for i in (6, 7):
+            rows.append((g + i, f"{prose(rng, 20)} {' '.join(parts)} {prose(rng, 20)}", "a"))
+    rows += [(500, " ".join(["p q r"] * 60), "a"), (None, "x " * 99, "a")]
+    words = {i: t.split() for i, t, _ in rows if i is not None}
+    spans = {}
+    for r in chaining.fuzzy_passages(frame(spark, rows)).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+        a, b = words[r.doc_id][r.start:r.end], words[r.source_doc_id][r.source_start:r.source_end]
+        assert len(a) >= 50 and a == b and r.matched == len(a)
+        assert (r.source_doc_id, r.source_start) < (r.doc_id, r.start)
+    seen = set()
+    for i in sorted(words):
+        for p in range(len(words[i]) - 49):
+            window = tuple(words[i][p:p + 50])
+            assert window not in seen or any(s <= p and p + 50 <= e for s, e in spans.get(i, [])), (i, p)
+            seen.add(window)
+
+
 def test_chains_against_all_subsets():
     rng = random.Random(7)
     for _ in range(200):
