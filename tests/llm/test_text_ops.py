@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from distinctspark.llm import chaining, html, mixing, ordinal, pieces, pii
 from distinctspark.llm.components import components
 from distinctspark.llm.linededup import drop_repeated_runs
@@ -108,6 +109,20 @@ def test_near_duplicates_against_all_pairs(spark, odd_rows):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_0_8(spark):
+    rng, rows = random.Random(17), []
+    for g in range(0, 60, 2):  # one edit in the middle changes 5 of n - 4 shingles
+        words = prose(rng, 40 + g).split()
+        rows.append((g, " ".join(words), "a"))
+        words[20] = "edit"
+        rows.append((g + 1, " ".join(words), "a"))
+    sets = {i: shingles(t) for i, t, _ in rows}
+    share = {g: len(sets[g] & sets[g + 1]) / len(sets[g] | sets[g + 1]) for g in range(0, 60, 2)}
+    assert any(s < 0.8 for s in share.values()) and any(0.8 <= s < 0.85 for s in share.values())
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert left == set(share) | {g + 1 for g, s in share.items() if s < 0.8}
+
+
 def test_line_runs(spark, odd_rows):
     got = {(r.doc_id, r.source): r for r in drop_repeated_runs(frame(spark, odd_rows)).collect()}
     assert got[(1, "a")].text is None and got[(2, "a")].text == ""
