@@ -92,3 +92,98 @@ y AS (SELECT x.doc_id, x.h, sum((least(start + size, (block_no + 1) * block)
 SELECT d.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM d LEFT JOIN y ON y.doc_id = d.doc_id AND y.h = d.h
 """
+
+
+def _merkle(doc_levels: int = 7, group_levels: int = 3) -> str:
+    """Levels are written out: enough for 8^7 documents a language and 8^3 languages."""
+
+    def fields(text: str) -> str:
+        values = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+        return " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values)
+
+    byte = "ascii(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS BIGINT), 1))"
+    bit = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform("
+        f"range(length(doc_id::VARCHAR)), lambda i: {byte}::BIGINT)), lambda c, b: {bit}))"
+    )
+    lowered = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    parts = [
+        f"h AS (SELECT doc_id, lang, sha256({fields('text')}) AS d, "
+        f"CASE WHEN {crc} % 3 = 0 THEN sha256({fields(lowered)}) END AS alt FROM documents)",
+        "lf AS (SELECT doc_id, d, alt, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, "
+        "row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS pos FROM h)",
+        "n0 AS (SELECT tree, pos, d FROM lf)",
+    ]
+
+    def climb(name: str, k: int) -> None:
+        parts.append(
+            f"{name}c{k} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}{k}), "
+            f"{name}s{k} AS (SELECT tree, pos, c, coalesce(string_agg(d, '') OVER (PARTITION BY tree, pos // 8 "
+            "ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+            "coalesce(string_agg(d, '') OVER (PARTITION BY tree, pos // 8 "
+            f"ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}c{k}), "
+            f"{name}{k + 1} AS (SELECT tree, pos // 8 AS pos, CASE WHEN any_value(c) > 1 THEN "
+            f"sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d FROM {name}c{k} GROUP BY tree, pos // 8)"
+        )
+
+    for k in range(doc_levels):
+        climb("n", k)
+    parts.append(f"g0 AS (SELECT 0 AS tree, tree AS pos, d FROM n{doc_levels})")
+    for k in range(group_levels):
+        climb("g", k)
+    parts.append("e0 AS (SELECT *, coalesce(alt, d) AS cur, '' AS proof FROM lf)")
+    steps = [("n", k, f"s.tree = e.tree AND s.pos = e.pos >> {3 * k}") for k in range(doc_levels)]
+    steps += [("g", k, f"s.pos = e.tree >> {3 * k}") for k in range(group_levels)]
+    for i, (name, k, on) in enumerate(steps):
+        parts.append(
+            f"e{i + 1} AS (SELECT e.doc_id, e.d, e.tree, e.pos, "
+            "CASE WHEN s.c > 1 THEN sha256(s.l || cur || s.r) ELSE cur END AS cur, "
+            f"CASE WHEN s.c > 1 THEN proof || s.l || s.r ELSE proof END AS proof FROM e{i} e JOIN {name}s{k} s ON {on})"
+        )
+    return (
+        f"WITH {', '.join(parts)} SELECT e.doc_id, e.d AS leaf, n.d AS subroot, g.d AS root, "
+        "sha256(e.proof) AS proof_sha256, e.cur AS folded_root, e.cur = g.d AS verified "
+        f"FROM e{len(steps)} e JOIN n{doc_levels} n ON n.tree = e.tree, g{group_levels} g"
+    )
+
+
+ORACLES["op11_merkle_manifest"] = _merkle()
+
+
+def _lloyd(width: int = 8, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """For vectors of parts * width components."""
+    sound = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+    ctes = [
+        "q AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v "
+        f"FROM embeddings WHERE embedding IS NOT NULL AND {sound})",
+        f"p AS (SELECT vec_id, k, v[k * {width} + 1 : k * {width} + {width}] AS x FROM q, range({parts}) t(k))",
+        "b0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, x AS c FROM p "
+        f"QUALIFY e < {entries})",
+    ]
+    squares = f"list_sum(list_transform(range(1, {width + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    for r in range(rounds + 1):
+        ctes.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, k, any_value(x) AS x, min({{'d': CAST({squares} AS BIGINT), 'e': e}}) AS m "
+            f"FROM p JOIN b{r} USING (k) GROUP BY vec_id, k)"
+        )
+        if r < rounds:
+            sums = ", ".join(f"CAST(sum(x[{i}]) AS BIGINT)" for i in range(1, width + 1))
+            ctes.append(
+                f"u{r} AS (SELECT k, m.e AS e, count(*) AS n, [{sums}] AS s FROM a{r} GROUP BY k, m.e), "
+                f"b{r + 1} AS MATERIALIZED (SELECT k, e, CASE WHEN n IS NULL THEN c ELSE "
+                "list_transform(s, lambda t: (t - ((t % n) + n) % n) // n) END AS c "
+                f"FROM b{r} LEFT JOIN u{r} USING (k, e))"
+            )
+    return (
+        f"WITH {', '.join(ctes)}, "
+        "z AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY k) AS code, "
+        f"CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id), "
+        "w AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY k, e, i)) AS codebooks_sha256 FROM "
+        f"(SELECT k, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{rounds})) "
+        "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, "
+        "codebooks_sha256 FROM z JOIN q USING (vec_id), w"
+    )
+
+
+ORACLES["op13_resident_lloyd"] = _lloyd()

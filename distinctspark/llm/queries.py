@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from distinctspark.llm import langid
 from distinctspark.llm.chaining import fuzzy_passages
 from distinctspark.llm.html import extract_text
 from distinctspark.llm.kmeans_tree import nearest_neighbours
 from distinctspark.llm.linededup import drop_repeated_runs
+from distinctspark.llm.lloyd import compress, with_label_error
+from distinctspark.llm.merkle import document_manifest
 from distinctspark.llm.minhash import near_duplicates
 from distinctspark.llm.mixing import mix
 from distinctspark.llm.ordinal import fit, grade
@@ -95,3 +98,21 @@ def op9_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return document_manifest(table(spark, folder, "documents"))
+
+
+@query
+def op12_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+@query
+def op13_resident_lloyd(spark: SparkSession, folder: str) -> DataFrame:
+    found = compress(table(spark, folder, "embeddings"))
+    books = F.lit(found.sha256).alias("codebooks_sha256")
+    return with_label_error(found.codes).select("vec_id", "code", "error", "label_error", books)
