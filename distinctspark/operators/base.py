@@ -50,6 +50,8 @@ class Sketch:
     #: True when one item becomes several slot rows; items are then
     #: deduplicated before expansion.
     fans_out: ClassVar[bool] = False
+    #: True when :meth:`combine` changes the representation of states that grow past a bound.
+    settles: ClassVar[bool] = False
 
     def __post_init__(self) -> None:
         if self.hash not in HASH_KINDS:

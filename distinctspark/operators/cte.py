@@ -38,6 +38,7 @@ class CountThenEstimate(Sketch):
     code: ClassVar[str] = "CTE"
     slots: ClassVar[tuple[str, ...]] = ("h", "bucket")
     payload: ClassVar[dict] = {"reg": F.max}
+    settles: ClassVar[bool] = True
 
     @classmethod
     def for_maximum(cls, n_max: int, **kw) -> CountThenEstimate:
@@ -140,12 +141,13 @@ class CountThenEstimate(Sketch):
             *meta_aggregates(buckets),
         )
         untipped = (F.col("all_exact") == 1) & (F.col("n_exact") <= self.tip)
-        estimate = F.when(untipped, F.col("n_exact")).otherwise(self._estimate())
+        estimate = F.when(untipped, F.col("n_exact")).otherwise(self.register_estimate())
         return totals.withColumn("estimate", estimate.cast("long")).drop(
             "reg_sum", "inverse_sum", "touched", "n_exact", "all_exact"
         )
 
-    def _estimate(self) -> Column:
+    def register_estimate(self) -> Column:
+        """From reg_sum, inverse_sum and touched."""
         reg_sum, touched = F.col("reg_sum"), F.col("touched")
         if self.estimator == "AC":
             return adaptive_estimate(reg_sum, touched, self.p)

@@ -159,10 +159,11 @@ def kmv_overlap(
 ) -> DataFrame:
     """Union, Jaccard and intersection of all members' sketches within each key.
 
-    ``state`` has one KMV sketch per (keys, member).  The union sketch is the k
-    smallest distinct hashes of all members; the Jaccard similarity is the share
-    of those that every member holds.  No member pairs are formed.
+    ``state`` has one KMV sketch per (keys, member), or several appended ones.  The
+    union sketch is the k smallest distinct hashes of all members; the Jaccard
+    similarity is the share of those that every member holds.  No member pairs are formed.
     """
+    state = state.select(*keys, *member, "h").distinct()
     per_hash = state.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("held_by"))
     members = state.select(*keys, *member).distinct()
     n_members = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))

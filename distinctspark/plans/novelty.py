@@ -16,18 +16,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from distinctspark.functions.hashing import hash60
+from distinctspark.functions.hashing import hash60, seeded_hash, trailing_zeros, with_seeds
 from distinctspark.operators.base import Sketch, named_value
+from distinctspark.operators.bjkst import Bjkst
+from distinctspark.operators.cte import CountThenEstimate
 from distinctspark.operators.kmv import KMinValues
-from distinctspark.operators.registers import RegisterSketch, bucket_of, rank_of
+from distinctspark.operators.registers import (
+    HyperLogLogPlus,
+    RegisterSketch,
+    bucket_of,
+    rank_of,
+)
 from distinctspark.plans.registry import make_sketch
+from distinctspark.session import equi_join, materialize
 
 #: Above twice the largest BIGINT, so that pairs keep their order.
 PAIR_BASE = "20000000000000000000"
 #: Beyond this many stretches per replay another round shortens the last one.
 MANY_STRETCHES = 256
 #: Methods whose state is a set of slots: a row is novel when it sets a new one.
-SLOT_SETS = ("EXACT", "LC", "FM", "BF")
+SLOT_SETS = ("EXACT", "LC", "LCP", "FM", "BF", "BFB")
 
 
 def novelty_flag(
@@ -43,6 +51,8 @@ def novelty_flag(
 
     Registers: the rank exceeds every earlier rank of its bucket.  Slot sets:
     some slot was unset.  KMV: the hash is new and among the k smallest so far.
+    HLLP and CTE: by the fine state up to the row that tips it, by registers after.
+    BJKST: the hash is new and of at least the level some try has reached.
     """
     sketch = make_sketch(alg, **params)
     source, name = named_value(df, value)
@@ -58,6 +68,23 @@ def novelty_flag(
         novel = slots.groupBy(*by).agg(F.min("_at").alias("_at"))
     elif isinstance(sketch, KMinValues):
         novel = _novel_minima(rows, keys, sketch.k)
+    elif isinstance(sketch, HyperLogLogPlus):
+        fine = rows.groupBy(*keys, bucket_of(F.col("h"), sketch.sp).alias("slot")).agg(
+            F.min("_at").alias("_at")
+        )
+        before = _novel_registers(rows, keys, sketch.sp)
+        after = _novel_registers(rows, keys, sketch.p)
+        novel = _tipping(fine, before, after, keys, sketch.limit)
+    elif isinstance(sketch, CountThenEstimate):
+        fine = rows.groupBy(*keys, "h").agg(F.min("_at").alias("_at"))
+        if sketch.estimator == "LC":  # over the buckets: only their first rows count
+            bucket = bucket_of(F.col("h"), sketch.p).alias("bucket")
+            after = rows.groupBy(*keys, bucket).agg(F.min("_at").alias("_at"))
+        else:
+            after = _novel_registers(rows, keys, sketch.p)
+        novel = _tipping(fine, fine, after, keys, sketch.tip)
+    elif isinstance(sketch, Bjkst):
+        novel = _novel_levels(rows, keys, sketch)
     else:
         raise ValueError(f"no novelty rule for {sketch.code!r}")
     marks = novel.select("_at").distinct().withColumn(out, F.lit(True))
@@ -94,6 +121,47 @@ def _novel_registers(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     return first.withColumn("_seen", seen).where(F.col("rank") > F.col("_seen"))
 
 
+def _nth_first(firsts: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """``by``, ``_limit``: the position of each group's first row number ``n``, where it has one."""
+    ranked = firsts.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_at")))
+    return ranked.where(F.col("_rank") <= n).where(F.col("_rank") == n).select(
+        *by, F.col("_at").alias("_limit")
+    )
+
+
+def _tipping(
+    fine: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str], limit: int
+) -> DataFrame:
+    """Rows of ``before`` up to the one whose fine slot is number ``limit`` + 1, then of ``after``.
+
+    ``fine`` has the first row of every fine slot.
+    """
+    tips = materialize(_nth_first(fine, keys, limit + 1), "tips")
+    early = equi_join(before.select(*keys, "_at"), tips, keys, "left")
+    early = early.where(F.col("_limit").isNull() | (F.col("_at") <= F.col("_limit")))
+    late = equi_join(after.select(*keys, "_at"), tips, keys, "inner")
+    return early.unionByName(late.where(F.col("_at") > F.col("_limit")))
+
+
+def _novel_levels(rows: DataFrame, keys: Sequence[str], sketch: Bjkst) -> DataFrame:
+    """First rows of a hash that found room in some try.
+
+    A try is above level z once buffer + 1 hashes of at least z have come.  So a hash of level z
+    enters exactly if it is among the first buffer + 1 of those; that row raises the level after it.
+    """
+    first = rows.groupBy(*keys, "h").agg(F.min("_at").alias("_at"))
+    tried = with_seeds(first, sketch.tries).select(
+        *keys, F.col("seed").alias("try"), "_at", trailing_zeros(seeded_hash()).alias("level")
+    )
+    tried = materialize(tried, "tried")
+    # A hash counts for its level and all below: two on average.
+    counted = tried.withColumn("level", F.explode(F.sequence(F.lit(0), "level")))
+    by = [*keys, "try", "level"]
+    limits = materialize(_nth_first(counted, by, sketch.buffer + 1), "limits")
+    joined = equi_join(tried, limits, by, "left")
+    return joined.where(F.col("_limit").isNull() | (F.col("_at") <= F.col("_limit")))
+
+
 def _novel_minima(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """Replay in rounds.
 

@@ -14,6 +14,7 @@ from distinctspark.operators.exact import Exact
 from distinctspark.operators.fm import FlajoletMartin
 from distinctspark.operators.kmv import KMinValues
 from distinctspark.operators.linear import LinearCounting
+from distinctspark.operators.packed import BlockedBloom, PackedLinearCounting
 from distinctspark.operators.registers import (
     AdaptiveCounting,
     HyperLogLog,
@@ -30,9 +31,11 @@ SKETCHES: dict[str, type[Sketch]] = {
         HyperLogLog,
         HyperLogLogPlus,
         LinearCounting,
+        PackedLinearCounting,
         FlajoletMartin,
         KMinValues,
         BloomFilter,
+        BlockedBloom,
         Bjkst,
         CountThenEstimate,
     )

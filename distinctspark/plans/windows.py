@@ -22,10 +22,9 @@ from distinctspark.functions.hashing import hash60
 from distinctspark.functions.scalars import epoch_micros
 from distinctspark.operators.base import META, Sketch, named_value
 from distinctspark.plans.registry import make_sketch
+from distinctspark.streaming.buffers import BUFFERS, buffered_windows
 
 STRATEGIES = ("direct", "sliced", "intervals")
-#: Methods whose estimate needs ranking windows, so no streaming form exists.
-BATCH_ONLY = ("KMV", "BJKST")
 
 
 def _millis(ms: int) -> str:
@@ -42,17 +41,18 @@ def windowed_distinct(
     alg: str | Sketch = "HLL",
     strategy: str = "sliced",
     metadata: bool = False,
+    output_mode: str = "append",
     **params,
 ) -> DataFrame:
     """keys, window, estimate [, n_items, first_ts, last_ts].
 
     ``slide_ms=None`` is a tumbling window.  Windows without events give no row.
-    A streaming ``df`` must already carry its watermark on ``ts``.
+    A streaming ``df`` must already carry its watermark on ``ts``.  There, KMV,
+    BJKST and CTE keep a bounded buffer per key and window, whatever the strategy;
+    ``output_mode="update"`` is for these only.
     """
     sketch = make_sketch(alg, **params)
     slide_ms = slide_ms or size_ms
-    if df.isStreaming and sketch.code in BATCH_ONLY:
-        raise ValueError(f"{sketch.code} has no streaming form")
     df, value = named_value(df, value)
     extra = []
     if metadata:
@@ -63,6 +63,11 @@ def windowed_distinct(
         *keys, ts, hash60(value, sketch.hash).alias("h"), *extra
     )
     size, slide = _millis(size_ms), _millis(slide_ms)
+    if df.isStreaming and sketch.code in BUFFERS:
+        found = buffered_windows(rows, keys, ts, size, slide, sketch, output_mode)
+        return found.drop("n_held") if metadata else found.select(*keys, "window", "estimate")
+    if output_mode != "append":
+        raise ValueError(f"{sketch.code} has no update mode here")
     dedup = not df.isStreaming
     if strategy == "direct" or slide_ms == size_ms:
         rows = rows.withColumn("window", F.window(ts, size, slide))
@@ -78,6 +83,8 @@ def windowed_distinct(
     step = math.gcd(size_ms, slide_ms)
     sliced = rows.withColumn("slice", F.window(ts, _millis(step)))
     slices = sketch.one_pass(sliced, [*keys, "slice"], "h", prehashed=True, dedup=dedup)
+    if sketch.settles and dedup and not metadata:  # past its bound a slice is registers
+        slices = sketch.combine(slices, [*keys, "slice"])
     # A slice lies in exactly the windows that hold its event time.
     at = F.window_time("slice") if df.isStreaming else F.col("slice.start")
     expanded = slices.withColumn("window", F.window(at, size, slide)).drop("slice")

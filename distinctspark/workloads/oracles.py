@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 
 from distinctspark.functions import sizing
+from distinctspark.functions.bias import LINEAR_BELOW, bias_table
 from distinctspark.functions.hashing import MIX_ROUNDS
 from distinctspark.operators.registers import HLL_ALPHA_SMALL
 from distinctspark.workloads.queries import (
+    BUFFER_SLIDE_MS,
+    BUFFERED,
     DISPATCH,
     ESTIMATES,
     EVENT_TYPES,
@@ -157,16 +160,31 @@ def est_registers(src: str, k: str, p: int, formula: str) -> str:
     return f"(SELECT {k}, CAST({formula} AS BIGINT) AS estimate FROM {registers(src, k, p)})"
 
 
-def est_hllp(src: str, k: str, p: int, sp: int) -> str:
+def bias_formula(p: int) -> str:
+    """Of raw estimate e and linear counting l (NULL without empty registers)."""
+    raws, biases = bias_table(p, alpha(p))
+    m, below = 1 << p, LINEAR_BELOW[p - 4]
+    places = f"list_transform(range({len(raws)}), lambda i: {{'d': abs({list(raws)}[i + 1] - e), 'b': {list(biases)}[i + 1]}})"
+    nearest = f"list_sum(list_transform(list_sort({places})[1:6], lambda x: x.b)) / 6"
+    corrected = f"(CASE WHEN e <= {5.0 * m} THEN e - {nearest} ELSE e END)"
+    return f"round(CASE WHEN l < {below} THEN l ELSE {corrected} END)"
+
+
+def est_hllp(src: str, k: str, p: int, sp: int, bias: bool = False) -> str:
     sparse = (
         f"(SELECT {k}, count(DISTINCT h >> {60 - sp}) AS n FROM {src} GROUP BY {k})"
     )
     # A dense rank seen through the sparse index equals the rank of the whole rest.
-    dense = registers(src, k, p)
+    m = 1 << p
+    dense = (
+        f"(SELECT *, {alpha(p) * m * m!r} / (z + ({m} - t)) AS e, CASE WHEN t < {m} THEN "
+        f"{float(m)} * ln({float(m)} / ({m} - t)) END AS l FROM {registers(src, k, p)})"
+    )
     sm = float(1 << sp)
+    formula = bias_formula(p) if bias else hll_formula(p)
     return (
         f"(SELECT {k}, CAST(CASE WHEN n <= {int(0.75 * (1 << p))} THEN "
-        f"round({sm} * ln({sm} / ({sm} - n))) ELSE {hll_formula(p)} END AS BIGINT) AS estimate "
+        f"round({sm} * ln({sm} / ({sm} - n))) ELSE {formula} END AS BIGINT) AS estimate "
         f"FROM {sparse} JOIN {dense} USING ({k}))"
     )
 
@@ -231,6 +249,24 @@ def est_bf(src: str, keys: str, bits: int, k: int, formula: str = "swamidass") -
     )
 
 
+def block_places(blocks: int, k: int) -> str:
+    """block, bit of every bit of hash ``h``."""
+    low = f"(h & {M30})"
+    return (
+        f"(h >> 30) % {blocks} AS block, "
+        f"unnest([({low} + i * (({low} >> 15) | 1)) & 32767 FOR i IN range({k})]) AS bit"
+    )
+
+
+def est_bfb(src: str, keys: str, blocks: int, k: int) -> str:
+    return (
+        f"(SELECT {keys}, CASE WHEN max(x) < 32768 THEN "
+        f"CAST(round(sum(-(32768.0::DOUBLE / {k}) * ln(1 - x / 32768.0::DOUBLE))) AS BIGINT) END AS estimate "
+        f"FROM (SELECT {keys}, block, least(count(DISTINCT bit), 32767.5) AS x FROM "
+        f"(SELECT {keys}, {block_places(blocks, k)} FROM {src}) GROUP BY {keys}, block) GROUP BY {keys})"
+    )
+
+
 def est_bjkst(
     src: str, k: str, tries: int, set_size: int, error: float, combine_by: str = "median"
 ) -> str:
@@ -294,7 +330,7 @@ def estimate(alg: str, src: str, k: str, params: dict) -> str:
     if alg == "AC":
         return est_registers(src, k, p, ac_formula(p))
     builders = {
-        "HLLP": est_hllp, "LC": est_lc, "FM": est_fm, "BF": est_bf,
+        "HLLP": est_hllp, "LC": est_lc, "LCP": est_lc, "BFB": est_bfb, "FM": est_fm, "BF": est_bf,
         "BJKST": est_bjkst, "CTE": est_cte, "EXACT": est_exact,
     }
     if alg == "KMV":
@@ -339,6 +375,19 @@ for _name, (_alg, _value, _params) in MERGES.items():
     _src = source("lineitem", "l_returnflag", _value)
     ORACLES[_name] = f"SELECT * FROM {estimate(_alg, _src, 'l_returnflag', _params)}"
 
+_mixed = (
+    f"(SELECT l_linenumber, l_returnflag, count(DISTINCT {mix('l_orderkey')} >> 42) > 1536 AS d "
+    "FROM lineitem GROUP BY 1, 2)"
+)
+_merged = source("lineitem", "l_linenumber", "l_orderkey")
+ORACLES["merge_hllpp_mixed"] = (
+    "SELECT l_linenumber, estimate, n_sparse, n_dense, is_dense, true AS is_bounded FROM "
+    f"{estimate('HLLP', _merged, 'l_linenumber', {'p': 11, 'sp': 18})} JOIN (SELECT l_linenumber, "
+    f"count(*) FILTER (NOT d) AS n_sparse, count(*) FILTER (d) AS n_dense FROM {_mixed} GROUP BY 1) "
+    "USING (l_linenumber) JOIN (SELECT l_linenumber, count(DISTINCT h >> 42) > 1536 AS is_dense "
+    f"FROM {_merged} GROUP BY 1) USING (l_linenumber)"
+)
+
 _lc_n = (
     "(SELECT o_orderpriority, count(o_custkey) AS n_max FROM orders GROUP BY o_orderpriority)"
 )
@@ -418,6 +467,15 @@ def _semi(bits: int, k: int) -> str:
 
 
 ORACLES["bloom_semi_filter"] = _semi(1 << 14, 3)
+_member = f"(SELECT {mix('c_custkey')} AS h FROM customer WHERE c_mktsegment = 'BUILDING')"
+_probe = f"(SELECT o_orderkey, o_custkey, {mix('o_custkey')} AS h FROM orders)"
+ORACLES["bloom_blocked_semi"] = (
+    f"WITH s AS (SELECT DISTINCT * FROM (SELECT {block_places(1 << 16, 6)} FROM {_member})), "
+    f"p AS (SELECT DISTINCT h, {block_places(1 << 16, 6)} FROM {_probe}), "
+    "hit AS (SELECT h FROM p LEFT JOIN s ON s.block = p.block AND s.bit = p.bit GROUP BY h "
+    "HAVING count(*) = count(s.bit)) "
+    f"SELECT o_orderkey, o_custkey FROM {_probe} WHERE h IN (SELECT h FROM hit)"
+)
 ORACLES["bloom_semi_filter_wide"] = _semi(1 << 24, 4)
 
 # -- KMV overlap -------------------------------------------------------------
@@ -449,6 +507,7 @@ for _name, _column in (
     ("kmv_intersection", "intersection_estimate"),
 ):
     ORACLES[_name] = f"SELECT l_returnflag, {_column} FROM ({ORACLES['kmv_set_overlap']})"
+ORACLES["kmv_overlap_appended"] = ORACLES["kmv_set_overlap"]
 ORACLES["kmv_pair_overlap"] = _overlap(
     "(SELECT p.l_returnflag AS \"left\", 'N' AS \"right\", l.l_returnflag AS member, "
     f"{mix('l_orderkey')} AS h FROM (SELECT DISTINCT l_returnflag FROM lineitem "
@@ -482,6 +541,14 @@ ORACLES["sliding_direct"] = ORACLES["sliding_sliced"] = f"SELECT * FROM {_slide}
 ORACLES["sliding_exact"] = ORACLES["sliding_exact_intervals"] = (
     f"SELECT * FROM {windowed(_ev, 'event_type', SIZE_MS, SLIDE_MS, 'EXACT', 0)}"
 )
+ORACLES["sliding_cte"] = "SELECT * FROM " + estimate(
+    "CTE", windows(_ev, SIZE_MS * 1000, SLIDE_MS * 1000),
+    "window_start, window_end, event_type", {"tip": 40, "p": 8},
+)
+ORACLES["sliding_hllpp"] = "SELECT * FROM " + estimate(
+    "HLLP", windows(_ev, SIZE_MS * 1000, SLIDE_MS * 1000),
+    "window_start, window_end, event_type", {"p": 6, "sp": 14},
+)
 ORACLES["sliding_uneven"] = (
     f"SELECT * FROM {windowed(_ev, 'event_type', 36_000_000, 14_400_000, 'HLL', 6)}"
 )
@@ -547,6 +614,49 @@ ORACLES["novelty_bloom"] = (
     f"(SELECT *, {positions('h', 4, 1 << 13)} AS bit FROM {_nov})) GROUP BY event_id, event_type"
 )
 
+_before = "ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _seen(fine: str) -> str:
+    """Events with the number of distinct ``fine`` slots of their key before them, and if theirs is new."""
+    return (
+        f"(SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY event_type {_before}), 0) AS seen FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY event_type, {fine} ORDER BY ts_us, event_id) = 1 "
+        f"AS fresh FROM {_nov}))"
+    )
+
+
+def _raises(p: int) -> str:
+    """If a row raises its register."""
+    w = 60 - p
+    rank = lead(f"(h & {(1 << w) - 1})", w)
+    return (
+        f"{rank} > coalesce(max({rank}) OVER (PARTITION BY event_type, h >> {w} {_before}), 0)"
+    )
+
+
+ORACLES["novelty_hllpp"] = (
+    f"SELECT event_id, event_type, CASE WHEN seen <= 192 THEN {_raises(14)} ELSE {_raises(8)} END "
+    f"AS is_novel FROM {_seen('h >> 46')}"
+)
+ORACLES["novelty_cte"] = (
+    f"SELECT event_id, event_type, CASE WHEN seen <= 150 THEN fresh ELSE {_raises(8)} END "
+    f"AS is_novel FROM {_seen('h')}"
+)
+ORACLES["novelty_cte_lc"] = (
+    "SELECT event_id, event_type, CASE WHEN seen <= 150 THEN fresh ELSE row_number() OVER "
+    f"(PARTITION BY event_type, h >> 51 ORDER BY ts_us, event_id) = 1 END AS is_novel FROM {_seen('h')}"
+)
+# A hash of level z enters a try while no more than the buffer of at least z have come before it.
+_room = int(10 / 0.4**2)
+ORACLES["novelty_bjkst"] = (
+    f'WITH f AS MATERIALIZED (SELECT event_type, "at" AS first, s, {tz(seeded('h'))} AS z FROM {_firsts}, {seeds(3)}), '
+    "lv AS (SELECT first, z, l, row_number() OVER (PARTITION BY event_type, s, l ORDER BY first) AS rn "
+    "FROM f, range(61) g(l) WHERE l <= z), "
+    f"novel AS (SELECT first.event_id AS event_id FROM lv WHERE l = z AND rn <= {_room} + 1) "
+    "SELECT event_id, event_type, event_id IN (SELECT event_id FROM novel) AS is_novel FROM events"
+)
+
 # -- event sources -----------------------------------------------------------
 
 ORACLES["csv_roundtrip"] = (
@@ -719,3 +829,34 @@ ORACLES["stream_dedup"] = (
 ORACLES["stream_metrics"] = (
     f"SELECT * FROM {_with_metadata(_ms, 'key', 'ts_us // 1000', _stream_all)} WHERE {_closed}"
 )
+
+_buffer_windows = windows(_ms, SIZE_MS * 1000, BUFFER_SLIDE_MS * 1000)
+for _name, (_alg, _params) in BUFFERED.items():
+    ORACLES[_name] = f"SELECT * FROM {estimate(_alg, _buffer_windows, _wk, _params)} WHERE {_closed}"
+ORACLES["stream_upsert"] = (
+    f"SELECT {_wk}, n_items, estimate FROM {estimate('KMV', _buffer_windows, _wk, {'k': 16})} JOIN "
+    f"(SELECT {_wk}, count(*) AS n_items FROM {_buffer_windows} GROUP BY {_wk}) USING ({_wk})"
+)
+_halves = (
+    "(SELECT ms, cents, ms < lo + (hi - lo) // 2 + 1 AS early FROM "
+    "(SELECT ts_us // 1000 AS ms, cents, min(ts_us // 1000) OVER () AS lo, "
+    f"max(ts_us // 1000) OVER () AS hi FROM {EVENTS}))"
+)
+_hour = 3_600_000
+_late = (
+    f"(SELECT *, (ms // {_hour} + 1) * {_hour} AS ends, early AND ms % 10 = 0 AS held FROM {_halves})"
+)
+_marks = (
+    "(SELECT max(ms) FILTER (early AND NOT held) - 10 AS middle, max(ms) - 10 AS final "
+    f"FROM {_late})"
+)
+ORACLES["stream_late_rows"] = (
+    "SELECT count(*) AS n_input, count(*) FILTER (held AND ends <= middle) AS n_late, "
+    "count(*) FILTER (ends <= final AND NOT (held AND ends <= middle)) AS n_closed "
+    f"FROM {_late}, {_marks}"
+)
+ORACLES["stream_batch_metrics"] = (
+    "SELECT count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS total, min(ms) AS first_ms, "
+    f"max(ms) AS last_ms FROM {_halves} GROUP BY early"
+)
+ORACLES["stream_dedup_within"] = f"SELECT DISTINCT event_type AS key, cents AS value FROM {EVENTS}"

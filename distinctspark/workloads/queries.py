@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from distinctspark.functions import hashing, sizing
@@ -20,11 +20,12 @@ from distinctspark.operators.cte import CountThenEstimate
 from distinctspark.operators.exact import exact_distinct, item_count
 from distinctspark.operators.kmv import kmv_overlap, kmv_overlap_pairs
 from distinctspark.operators.linear import linear_counting_sized
+from distinctspark.operators.packed import BlockedBloom
 from distinctspark.plans import accuracy, reports
 from distinctspark.plans.novelty import novelty_flag
 from distinctspark.plans.registry import approx_distinct, make_sketch, sketch_state
 from distinctspark.plans.windows import flat_window, windowed_distinct
-from distinctspark.session import new_path
+from distinctspark.session import materialize, new_path
 from distinctspark.sources import events as ev
 from distinctspark.sources import measurements as ms
 from distinctspark.sources.states import read_state, write_state
@@ -97,8 +98,15 @@ ESTIMATES: dict[str, tuple] = {
     "hyperloglog_eps": ("lineitem", ["l_returnflag"], "l_orderkey", "HLL", {"error": 0.02}),
     "hyperloglog_text": ("documents", ["lang"], "text", "HLL", {"p": 12, "hash": "md5"}),
     "hllpp_sparse": ("lineitem", ["l_returnflag"], "l_orderkey", "HLLP", {"p": 16, "sp": 22}),
+    "hllpp_bias": (
+        "lineitem", ["l_returnflag"], "l_orderkey", "HLLP", {"p": 11, "sp": 16, "bias": True},
+    ),
     "hllpp_dense": ("lineitem", ["l_returnflag"], "l_orderkey", "HLLP", {"p": 10, "sp": 16}),
     "linear_counting": ("orders", ["o_orderpriority"], "o_custkey", "LC", {"bits": 1 << 16}),
+    "linear_counting_packed": (
+        "orders", ["o_orderpriority"], "o_custkey", "LCP", {"bits": 1 << 16},
+    ),
+    "bloom_blocked": ("orders", ["o_orderpriority"], "o_custkey", "BFB", {"blocks": 8, "k": 5}),
     "flajolet_martin": ("events", ["event_type"], "user_id", "FM", {"groups": 3, "hashes": 3}),
     "flajolet_martin_eps": ("events", ["event_type"], "user_id", "FM", {"error": 0.125}),
     "kmv": ("lineitem", ["l_returnflag"], "l_orderkey", "KMV", {"k": 1024}),
@@ -236,6 +244,16 @@ def bloom_semi_filter_wide(spark, folder):
     return _semi_filter(spark, folder, BloomFilter(hash="mix", bits=1 << 24, k=4))
 
 
+@query
+def bloom_blocked_semi(spark, folder):
+    """A filter of 2^31 bits, as the few blocks that hold anything, joined by block."""
+    sketch = BlockedBloom(hash="mix", blocks=1 << 16, k=6)
+    building = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'")
+    state = materialize(sketch.state(building, [], "c_custkey"), "filter")
+    rows = orders(spark, folder).select("o_orderkey", "o_custkey")
+    return sketch.might_contain(rows, "o_custkey", state).select("o_orderkey", "o_custkey")
+
+
 # -- merging states ----------------------------------------------------------
 
 MERGES: dict[str, tuple] = {
@@ -243,6 +261,9 @@ MERGES: dict[str, tuple] = {
     "merge_adaptive": ("AC", "l_orderkey", {"p": 14}),
     "merge_hll": ("HLL", "l_orderkey", {"p": 12}),
     "merge_hllpp": ("HLLP", "l_orderkey", {"p": 10, "sp": 16}),
+    "merge_hllpp_bias": ("HLLP", "l_orderkey", {"p": 11, "sp": 16, "bias": True}),
+    "merge_lc_packed": ("LCP", "l_orderkey", {"bits": 1 << 18}),
+    "merge_bloom_blocked": ("BFB", "l_partkey", {"blocks": 4, "k": 5}),
     "merge_lc": ("LC", "l_orderkey", {"bits": 1 << 18}),
     "merge_fm": ("FM", "l_partkey", {"groups": 3, "hashes": 3}),
     "merge_bloom": ("BF", "l_partkey", {"bits": 1 << 18, "k": 5}),
@@ -272,6 +293,26 @@ def _merge(name: str) -> Query:
 QUERIES.update({name: _merge(name) for name in MERGES})
 
 
+@query
+def merge_hllpp_mixed(spark, folder):
+    """Sparse and dense states, stored, merged in any mix: what came in, what came out."""
+    sketch = make_sketch("HLLP", hash="mix", p=11, sp=18)
+    fine, coarse = ["l_linenumber", "l_returnflag"], ["l_linenumber"]
+    path = new_path(spark, "state")
+    write_state(sketch.state(lineitem(spark, folder), fine, "l_orderkey"), path)
+    stored = read_state(spark, path)
+    parts = stored.groupBy(*fine).agg(F.max("form").alias("form")).groupBy(*coarse).agg(
+        F.count_if(F.col("form") == 0).alias("n_sparse"),
+        F.count_if(F.col("form") == 1).alias("n_dense"),
+    )
+    merged = materialize(sketch.merge([stored], coarse), "merged")
+    size = merged.groupBy(*coarse).agg(
+        (F.max("form") == 1).alias("is_dense"),
+        (F.count(F.lit(1)) <= 1 << sketch.p).alias("is_bounded"),
+    )
+    return sketch.estimate(merged, coarse).join(parts, coarse).join(size, coarse)
+
+
 def _status_overlap(spark, folder) -> DataFrame:
     """Both statuses' orders within each flag."""
     keys = ["l_returnflag"]
@@ -287,6 +328,20 @@ def kmv_set_overlap(spark, folder):
     return _status_overlap(spark, folder)
 
 
+@query
+def kmv_overlap_appended(spark, folder):
+    """The same from states that a re-run has appended twice."""
+    keys, member = ["l_returnflag"], ["l_linestatus"]
+    path = new_path(spark, "state")
+    state = sketch_state(
+        lineitem(spark, folder), [*keys, *member], "l_orderkey", "KMV", hash="mix", k=1024
+    )
+    write_state(state, path)
+    write_state(state, path)
+    found = kmv_overlap(read_state(spark, path), 1024, member, keys)
+    return found.withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query
 def kmv_union(spark, folder):
     return _status_overlap(spark, folder).select("l_returnflag", "union_estimate")
@@ -346,6 +401,18 @@ def sliding_exact_intervals(spark, folder):
     return _windowed(spark, folder, alg="EXACT", strategy="intervals")
 
 
+@query
+def sliding_cte(spark, folder):
+    """Slices and windows that hold sets up to the tip, registers beyond."""
+    return _windowed(spark, folder, alg="CTE", tip=40, p=8)
+
+
+@query
+def sliding_hllpp(spark, folder):
+    """Sparse slices that merge into dense windows."""
+    return _windowed(spark, folder, alg="HLLP", p=6, sp=14)
+
+
 @query
 def sliding_uneven(spark, folder):
     """A size that is no multiple of the slide: slices of their common divisor."""
@@ -449,6 +516,35 @@ def novelty_bloom(spark, folder):
     return found.select("event_id", "event_type", "is_novel")
 
 
+def _novel(spark, folder, alg: str, **params) -> DataFrame:
+    found = novelty_flag(
+        events(spark, folder), ["event_type"], "cents", ["ts_us", "event_id"],
+        alg, hash="mix", **params,
+    )
+    return found.select("event_id", "event_type", "is_novel")
+
+
+@query
+def novelty_hllpp(spark, folder):
+    """Sparse up to 192 indexes a key, registers after."""
+    return _novel(spark, folder, "HLLP", p=8, sp=14)
+
+
+@query
+def novelty_cte(spark, folder):
+    return _novel(spark, folder, "CTE", tip=150, p=8)
+
+
+@query
+def novelty_cte_lc(spark, folder):
+    return _novel(spark, folder, "CTE", tip=150, p=9, estimator="LC")
+
+
+@query
+def novelty_bjkst(spark, folder):
+    return _novel(spark, folder, "BJKST", tries=3, set_size=10, error=0.4)
+
+
 # -- event sources -----------------------------------------------------------
 
 
@@ -763,23 +859,36 @@ def dataset_sizes(spark, folder):
 STREAM_STEPS = 2
 
 
-def _drained(spark, folder, build) -> runs.Drained:
-    """Feed the events as CSV in time order, one half of the time range per step."""
+def _drained(
+    spark,
+    folder,
+    build,
+    delay: str = "0 seconds",
+    held: Callable[[Column, int], Column] | None = None,
+    **how,
+) -> runs.Drained:
+    """Feed the events as CSV in time order, one half of the time range per step.
+
+    Rows of the first half that ``held`` (of the time and the middle) names come with the second.
+    """
     path = new_path(spark, "stream-in")
     rows = _csv_events(spark, folder)
     lo, hi = rows.agg(F.min("ts_ms"), F.max("ts_ms")).first()
     width = (hi - lo) // STREAM_STEPS + 1
+    at, middle = F.col("ts_ms"), lo + width
+    late = held(at, middle) & (at < middle) if held else F.lit(False)
 
     def feed(step: int) -> None:
         start = lo + step * width
-        chunk = rows.where((F.col("ts_ms") >= start) & (F.col("ts_ms") < start + width))
+        own = (at >= start) & (at < start + width)
+        chunk = rows.where(own & ~late if step == 0 else own | late if step == 1 else own)
         chunk.write.mode("append").option("header", "false").csv(path)
 
     def stream(session: SparkSession) -> DataFrame:
-        source = ev.stream_events(session, path).withWatermark("ts", "0 seconds")
+        source = ev.stream_events(session, path).withWatermark("ts", delay)
         return build(source)
 
-    return runs.drain(spark, stream, feed, STREAM_STEPS)
+    return runs.drain(spark, stream, feed, STREAM_STEPS, **how)
 
 
 def _stream_windows(strategy: str, **extra):
@@ -804,6 +913,98 @@ def stream_sliced_append(spark, folder):
     return flat_window(drained.result(), F.unix_micros)
 
 
+#: Slide of the windows whose state is one bounded buffer each.
+BUFFER_SLIDE_MS = 5 * HOUR_MS // 2
+BUFFERED: dict[str, tuple[str, dict]] = {
+    "stream_kmv": ("KMV", {"k": 16}),
+    "stream_bjkst": ("BJKST", {"tries": 5, "set_size": 2, "error": 0.4}),
+    "stream_cte": ("CTE", {"tip": 20, "p": 8}),
+}
+
+
+def _buffered(alg: str, params: dict, **how):
+    def build(source: DataFrame) -> DataFrame:
+        return windowed_distinct(
+            source, ["key"], "value", "ts", SIZE_MS, BUFFER_SLIDE_MS, alg, hash="mix",
+            **params, **how,
+        )
+
+    return build
+
+
+def _stream_buffer(name: str) -> Query:
+    def run(spark, folder):
+        drained = _drained(spark, folder, _buffered(*BUFFERED[name]))
+        return flat_window(drained.result(), F.unix_micros)
+
+    return run
+
+
+QUERIES.update({name: _stream_buffer(name) for name in BUFFERED})
+
+
+@query
+def stream_upsert(spark, folder):
+    """Update mode: late rows fire their windows again, and the sink keeps the newest version.
+
+    A fifth of the rows of eight hours comes with the second half, within the watermark's delay.
+    """
+    build = _buffered("KMV", {"k": 16}, metadata=True, output_mode="update")
+    drained = _drained(
+        spark, folder, build, "12 hours",
+        lambda at, middle: (at % 5 == 0) & (at >= middle - 8 * HOUR_MS),
+        mode="update", sink="upsert",
+    )
+    found = runs.latest(drained.result(), ["window", "key"])
+    return flat_window(found, F.unix_micros).select(
+        "window_start", "window_end", "key", "n_items", "estimate"
+    )
+
+
+@query
+def stream_late_rows(spark, folder):
+    """Hourly windows at a delay of 10 ms: a tenth of the first half comes late."""
+
+    def build(source: DataFrame) -> DataFrame:
+        return windowed_distinct(
+            source, ["key"], "value", "ts", HOUR_MS, None, "KMV", hash="mix", k=16, metadata=True
+        )
+
+    drained = _drained(spark, folder, build, "10 milliseconds", lambda at, _: at % 10 == 0)
+    closed = drained.result().agg(F.sum("n_items").alias("n_closed"))
+    told = drained.batches().agg(F.sum("n_input").alias("n_input"), F.sum("n_late").alias("n_late"))
+    return told.withColumn("n_closed", closed.scalar())
+
+
+@query
+def stream_batch_metrics(spark, folder):
+    """What the running query observed of each batch that had rows."""
+
+    def build(source: DataFrame) -> DataFrame:
+        seen = source.observe(
+            "batch",
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum("value").alias("total"),
+            F.min("ts_ms").alias("first_ms"),
+            F.max("ts_ms").alias("last_ms"),
+        )
+        return seen.groupBy(F.window("ts", "1 day"), "key").count()
+
+    drained = _drained(spark, folder, build)
+    schema = "n_rows long, total long, first_ms long, last_ms long"
+    return runs.observed(drained, "batch", schema).drop("batch_id")
+
+
+@query
+def stream_dedup_within(spark, folder):
+    """One row per key and value, held for 60 days of event time after the first."""
+
+    def build(source: DataFrame) -> DataFrame:
+        return source.dropDuplicatesWithinWatermark(["key", "value"]).select("key", "value")
+
+    return _drained(spark, folder, build, "60 days").result()
+
+
 @query
 def stream_flush(spark, folder):
     """Closed windows from the stream, the open tail from a batch pass over its end."""

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from distinctspark.functions.hashing import hash60
+from distinctspark.functions.hashing import PRIME, family_coefficients, hash60
 from distinctspark.plans import reports
 from distinctspark.plans.novelty import novelty_flag
+from distinctspark.plans.registry import SKETCHES
 from distinctspark.session import new_path
 from distinctspark.sources import events as ev
 from distinctspark.sources import measurements as ms
@@ -142,6 +143,86 @@ def test_kmv_novelty_matches_a_replay(spark):
         assert r.is_novel == novel, r
 
 
-def test_no_novelty_rule(spark):
-    with pytest.raises(ValueError, match="no novelty rule"):
-        novelty_flag(spark.range(3), [], "id", ["id"], "BJKST")
+def replayed(rows, key, offer):
+    """Row ids that ``offer(state of the key, hash)`` calls novel, in order."""
+    states, novel = {}, set()
+    for r in rows:
+        if offer(states.setdefault(r[key], {}), r["h"]):
+            novel.add(r["id"])
+    return novel
+
+
+def ranked(h, p):
+    rest = h & ((1 << (60 - p)) - 1)
+    return h >> (60 - p), 60 - p + 1 - rest.bit_length()
+
+
+def offer_register(state, h, p):
+    bucket, rank = ranked(h, p)
+    if rank <= state.get((p, bucket), 0):
+        return False
+    state[(p, bucket)] = rank
+    return True
+
+
+def offer_hllpp(state, h):
+    """p 4, sp 9: sparse up to 12 indexes."""
+    dense = offer_register(state, h, 4)
+    tipped = state.get("tipped", False)
+    sparse = offer_register(state, h, 9)
+    if sum(1 for k in state if k[0] == 9) > 12:
+        state["tipped"] = True
+    return dense if tipped else sparse
+
+
+def offer_cte(state, h):
+    """tip 20, p 4."""
+    dense, tipped = offer_register(state, h, 4), state.get("tipped", False)
+    held = state.setdefault("held", set())
+    new = h not in held
+    held.add(h)
+    if len(held) > 20:
+        state["tipped"] = True
+    return dense if tipped else new
+
+
+def offer_bjkst(state, h):
+    """tries 2, buffer int(3 / 0.5^2) = 12."""
+    changed = False
+    for t in range(2):
+        a, b, c, d, e, f = family_coefficients(t)
+        high, low = h >> 30, h & (1 << 30) - 1
+        x = (a * high + b * low + c) % PRIME & (1 << 30) - 1
+        x = x << 30 | (d * high + e * low + f) % PRIME & (1 << 30) - 1
+        z = 60 if x == 0 else (x & -x).bit_length() - 1
+        level, held = state.setdefault(t, [0, {}])
+        if z >= level and h not in held:
+            held[h] = z
+            changed = True
+            while len(held) > 12:
+                state[t][0] += 1
+                for other in [k for k, v in held.items() if v < state[t][0]]:
+                    del held[other]
+    return changed
+
+
+@pytest.mark.parametrize("alg,params,offer", [
+    ("HLLP", {"p": 4, "sp": 9}, offer_hllpp),
+    ("CTE", {"tip": 20, "p": 4, "estimator": "HLL"}, offer_cte),
+    ("BJKST", {"tries": 2, "set_size": 3, "error": 0.5}, offer_bjkst),
+])
+def test_novelty_of_sketches_that_change_form(spark, alg, params, offer):
+    df = spark.range(1500).selectExpr(
+        "id", "CAST(id % 4 = 0 AS INT) AS key", "CAST(pmod(xxhash64(id), 300) AS BIGINT) AS value"
+    )
+    flagged = novelty_flag(df, ["key"], "value", ["id"], alg, hash="mix", **params)
+    rows = flagged.withColumn("h", hash60("value", "mix")).orderBy("id").collect()
+    assert {r.id for r in rows if r.is_novel} == replayed(rows, "key", offer)
+    assert len(rows) == 1500
+
+
+@pytest.mark.parametrize("code", sorted(SKETCHES))
+def test_every_method_has_a_novelty_rule(spark, code):
+    df = spark.range(30).withColumn("value", F.col("id") % 10)
+    novel = novelty_flag(df, [], "value", ["id"], code).where("is_novel")
+    assert sorted(r.id for r in novel.collect())[0] == 0
