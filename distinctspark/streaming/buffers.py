@@ -31,7 +31,7 @@ from distinctspark.operators.bjkst import Bjkst
 from distinctspark.operators.cte import CountThenEstimate
 from distinctspark.operators.kmv import DOMAIN, KMinValues
 
-#: What a buffer gives: an estimate, or what the register formulas need; and its size.
+#: What a buffer gives: an estimate, or -1 and what the register formulas need; and its size.
 RESULT = "answer long, reg_sum long, inverse_sum double, touched long, n_held long"
 
 
@@ -65,7 +65,7 @@ class Minima:
     def result(self) -> tuple:
         n = len(self.held)
         answer = n if n < self.k else int((self.k - 1) * DOMAIN / float(self.held[-1]))
-        return answer, None, None, None, n
+        return answer, 0, 0.0, 0, n
 
 
 class Levels:
@@ -113,7 +113,7 @@ class Levels:
             answer = int(values[votes.argmax()])  # the least of equals
         else:
             answer = int(np.floor(np.median(guesses)))
-        return answer, None, None, None, int(sizes.sum())
+        return answer, 0, 0.0, 0, int(sizes.sum())
 
 
 class Tipping:
@@ -142,10 +142,10 @@ class Tipping:
 
     def result(self) -> tuple:
         if not self.tipped:
-            return len(self.held), None, None, None, len(self.held)
+            return len(self.held), 0, 0.0, 0, len(self.held)
         set_ = self.held[self.held > 0].astype(np.int64)
         inverse = float(np.exp2(-set_.astype(np.float64)).sum())
-        return None, int(set_.sum()), inverse, len(set_), len(set_)
+        return -1, int(set_.sum()), inverse, len(set_), len(set_)
 
 
 BUFFERS = {KMinValues.code: Minima, Bjkst.code: Levels, CountThenEstimate.code: Tipping}
@@ -215,7 +215,7 @@ def buffered_windows(
     )
     estimate: Column = F.col("answer")
     if isinstance(sketch, CountThenEstimate):
-        estimate = F.coalesce(estimate, sketch.register_estimate().cast("long"))
+        estimate = F.when(estimate < 0, sketch.register_estimate().cast("long")).otherwise(estimate)
     window = F.struct(
         F.timestamp_micros("_start").alias("start"), F.timestamp_micros("_end").alias("end")
     )
