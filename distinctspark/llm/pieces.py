@@ -17,7 +17,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text worked on at once, in characters; a longer document is taken alone.
 CHUNK_CHARS = 1 << 19
 MARK = 0x2581  # stands for a space within pieces
-_LITERAL = np.uint32(0xFFFFFFFF)  # a mark that was in the text itself
+_LITERAL = 0x7FFFFFF0  # a mark that was in the text itself; no code point is so large
+_NONE = np.int32(-(1 << 31))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FILTER_BITS = 20
@@ -25,14 +26,29 @@ _FILTER_BITS = 20
 
 @dataclass
 class Pieces:
-    """A vocabulary: text pieces by length, byte pieces, and the bytes each id decodes to."""
-
-    hashes: list[np.ndarray]  # [length]: sorted hashes of the pieces of that many characters
-    ids: list[np.ndarray]  # [length]: their ids
+    """A vocabulary: text pieces by their hashes, byte pieces, and the bytes each id decodes to."""
+
+    hashes: np.ndarray  # sorted, of all text pieces, and some that no piece has
+    owners: np.ndarray  # their ids
+    first: np.ndarray  # of each value of a hash's top bits: the first place with it, or after it
+    sieve: np.ndarray  # if any hash has these top bits
+    crowd: int  # hashes that share their top bits, at most
+    lengths: np.ndarray  # of pieces, in characters, rising
+    ids: list[np.ndarray]  # the pieces of each of these lengths
     weights: np.ndarray  # log weight of each id
     bytes_from: int  # id of byte 0
     text: list[bytes]  # what an id decodes to, marks as spaces
-    sieve: np.ndarray  # hashes that may be pieces, by their top bits
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``h`` that are hashes of pieces, their ids)."""
+        top = h >> np.uint64(64 - _FILTER_BITS)
+        maybe = np.flatnonzero(self.sieve[top])
+        h, at = h[maybe], self.first[top[maybe]]
+        hit = self.hashes[at] == h
+        for _ in range(1, self.crowd):
+            at = np.where(hit, at, at + 1)
+            hit = self.hashes[at] == h
+        return maybe[hit], self.owners[at[hit]]
 
 
 def _hash(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,20 +89,22 @@ def load(path: str = MODEL, zipf: float = 1.0) -> Pieces:
         raise ValueError("the vocabulary needs a run of 256 byte pieces")
     weights = -zipf * np.log(rank + 2)
     weights -= np.log(np.exp(weights).sum())
-    longest = max(by_length)
-    hashes = [np.zeros(0, np.uint64) for _ in range(longest + 1)]
-    ids = [np.zeros(0, np.int64) for _ in range(longest + 1)]
-    sieve = np.zeros(1 << _FILTER_BITS, dtype=bool)
-    for length, own in by_length.items():
-        found = []
-        for _, piece in own:
-            sums, down = _hash(np.array([ord(c) for c in piece], dtype=np.uint32))
-            found.append(mix(sums[-1:] * down[:1]))
-        found = np.concatenate(found)
-        order = np.argsort(found)
-        hashes[length], ids[length] = found[order], np.array([i for i, _ in own])[order]
-        sieve[found >> np.uint64(64 - _FILTER_BITS)] = True
-    return Pieces(hashes, ids, weights, byte_ids[0], text, sieve)
+    lengths = sorted(by_length)
+    ids = [np.array([i for i, _ in by_length[n]], dtype=np.int32) for n in lengths]
+    hashes = []
+    for _, piece in (own for n in lengths for own in by_length[n]):
+        sums, down = _hash(np.array([ord(c) for c in piece], dtype=np.uint32))
+        hashes.append(mix(sums[-1:] * down[:1]))
+    hashes = np.concatenate(hashes)
+    order = np.argsort(hashes)
+    hashes, owners = hashes[order], np.concatenate(ids)[order]
+    tops = (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+    counts = np.bincount(tops, minlength=1 << _FILTER_BITS)
+    first = (np.cumsum(counts) - counts).astype(np.int32)
+    crowd = int(counts.max())
+    # Probes may run past the end.
+    hashes, owners = np.r_[hashes, np.zeros(crowd, np.uint64)], np.r_[owners, np.zeros(crowd, np.int32)]
+    return Pieces(hashes, owners, first, counts > 0, crowd, np.array(lengths), ids, weights, byte_ids[0], text)
 
 
 @dataclass
@@ -108,40 +126,43 @@ def lattice(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pie
     """
     n = len(codes)
     sums, down = _hash(codes)
-    limit = np.repeat(ends, ends - starts)
-    origin = np.repeat(starts, ends - starts)
-    places = np.arange(n)
+    origin = np.repeat(starts.astype(np.int32), ends - starts)
+    # One row a character, one column a length, the longest first: read by rows, edges are in the
+    # order of their end and start.
+    lengths = pieces.lengths
+    edge = np.full((n, len(lengths)), _NONE, dtype=np.int32)
     single = np.zeros(n, dtype=bool)
-    edge_start, edge_end, edge_id = [], [], []
-    at = places
-    for length in range(1, len(pieces.hashes)):
-        at = at[at + length <= limit[at]]
-        if len(at) == 0:
+    at = np.arange(n, dtype=np.int32)
+    room = np.repeat(ends.astype(np.int32), ends - starts) - at
+    low, power = sums[:-1], down[:-1]
+    for column, length in zip(range(len(lengths) - 1, -1, -1), lengths.tolist(), strict=True):
+        fits = np.flatnonzero(room >= length)
+        if len(fits) == 0:
             break
-        if len(pieces.hashes[length]) == 0:
-            continue
-        h = mix((sums[at + length] - sums[at]) * down[at])
-        maybe = np.flatnonzero(pieces.sieve[h >> np.uint64(64 - _FILTER_BITS)])
-        h, own = h[maybe], pieces.hashes[length]
-        k = np.minimum(np.searchsorted(own, h), len(own) - 1)
-        hit = own[k] == h
-        found = at[maybe[hit]]
-        edge_start.append(found)
-        edge_end.append(found + length)
-        edge_id.append(pieces.ids[length][k[hit]])
+        at, room, low, power = at[fits], room[fits], low[fits], power[fits]
+        hit, ids = pieces.find(mix((sums[at + length] - low) * power))
+        found = at[hit]
+        edge[found + (length - 1), column] = ids
         if length == 1:
             single[found] = True
     spelled = np.flatnonzero(~single)
-    edge_start.append(spelled)
-    edge_end.append(spelled + 1)
-    edge_id.append(-1 - codes[spelled].astype(np.int64))
-    start, end, ids = map(np.concatenate, (edge_start, edge_end, edge_id))
-    code = -1 - ids
+    edge[spelled, -1] = -1 - codes[spelled].view(np.int32)
+    flat = edge.reshape(-1)
+    where = np.flatnonzero(flat != _NONE)
+    last = (where // len(lengths)).astype(np.int32)
+    ids, end = flat[where], last + np.int32(1)
+    length = lengths[::-1].astype(np.int32)[where - last.astype(np.int64) * len(lengths)]
+    start = end - length
+    weight = pieces.weights[np.maximum(ids, 0)]
+    low = np.flatnonzero(ids < 0)
+    code = -1 - ids[low]
     n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-    n_bytes = np.where(code == int(_LITERAL), 3, n_bytes)
-    weight = np.where(ids < 0, n_bytes * pieces.weights[pieces.bytes_from], pieces.weights[np.maximum(ids, 0)])
-    depth = end - origin[end - 1]  # end within its segment
-    order = np.lexsort((start, end, depth))
+    weight[low] = np.where(code == _LITERAL, 3, n_bytes) * pieces.weights[pieces.bytes_from]
+    depth = end - origin[last]  # end within its segment
+    if len(depth) and depth.max() < 1 << 16:  # short keys have a linear sort
+        order = np.argsort(depth.astype(np.uint16), kind="stable")
+    else:
+        order = np.argsort(depth, kind="stable")
     start, end, ids, weight, depth = (x[order] for x in (start, end, ids, weight, depth))
     heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]]) if len(end) else np.zeros(0, np.int64)
     # Nodes are entered in the order of their depth; a segment's own start has A = 0.
@@ -180,7 +201,7 @@ def _uniform(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _spelled(code: int) -> bytes:
-    return chr(MARK if code == int(_LITERAL) else code).encode("utf-8", "surrogatepass")
+    return chr(MARK if code == _LITERAL else code).encode("utf-8", "surrogatepass")
 
 
 def encode_texts(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
