@@ -1,4 +1,9 @@
-"""Main text of web pages by two-pass block rules."""
+"""Main text of web pages by two-pass block rules.
+
+Names of elements and classes are hints, never verdicts.  An element hinted to hold no content is a
+wrapper, and its hint void, where it holds the article or, for a form, most of the page's prose; and
+where names would leave a page without text, they count for nothing.
+"""
 
 from __future__ import annotations
 
@@ -31,10 +36,10 @@ BLOCKS = frozenset(
     "section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never content, whatever stands in them.
+#: Elements hinted to hold no content.
 DROPPED = frozenset(
     "head nav footer aside form menu dialog button select option textarea label fieldset object".split())
-#: Words of a class, id or role that mark an element as no content.
+#: Words of a class, id or role that hint at an element without content.
 MARKS = frozenset(
     "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline "
     "comment comments complementary consent contentinfo cookie cookies dialog disclaimer discussion "
@@ -43,12 +48,16 @@ MARKS = frozenset(
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar "
     "widget widgets".split()
 )
+#: Words beside such a word in one name that take the hint back: no-sidebar, comments-closed.
+NEGATIONS = frozenset("no not non without with has hide hidden closed off none disabled".split())
 CONTENT = frozenset(["article", "main"])
 #: Elements of whole pages, whose marks describe the page and not themselves.
 PAGE = frozenset(["html", "body", "main", "article"])
 
 #: Decided good from this share of stop words and length on; decided bad above this link share.
 STOP_SHARE, SHORT_WORDS, LINK_SHARE = 0.12, 10, 0.4
+#: An element that holds this share of the page's prose is its wrapper, or its content.
+MOST = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -69,34 +78,40 @@ class Block:
     text: str
     tag: str
     linked: int  # characters within links
-    dropped: bool
+    hints: tuple[int, ...]  # numbers of the hinted elements it stands in
     content: int  # number of the article or main element it stands in; 0 is none
+    dropped: bool = False  # in an element whose hint holds
     label: bool | None = None
 
 
 @dataclass
 class _Open:
     tag: str
-    dropped: bool
+    hints: tuple[int, ...]
     content: int
 
 
-def _is_marked(tag: str, attributes: str, in_content: bool) -> bool:
-    if _HIDDEN.search(attributes):
-        return True
+def _is_hinted(tag: str, attributes: str, in_content: bool) -> bool:
     if tag in PAGE:
         return False
     for found in _MARKED.finditer(attributes):
-        parts = {p.lower() for p in _PART.findall(found[1] or found[2] or found[3] or "")}
-        if parts & MARKS or ("header" in parts and not in_content):
-            return True
+        for name in (found[1] or found[2] or found[3] or "").split():
+            parts = {p.lower() for p in _PART.findall(name)}
+            hint = parts & MARKS or ("header" in parts and not in_content)
+            if hint and not (parts & NEGATIONS):
+                return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with what stands around them."""
+#: Kinds of hints besides the elements' own tags: not shown, and by a class, id or role.
+HIDDEN, NAMED = "hidden", "named"
+
+
+def blocks(page: str) -> tuple[list[Block], list[str]]:
+    """The text blocks of a page in order, and the kind of hint of every hinted element."""
     found: list[Block] = []
-    stack = [_Open("", False, 0)]
+    hinted: list[str] = []
+    stack = [_Open("", (), 0)]
     parts: list[str] = []
     linked = links = contents = at = 0
     owner = "body"
@@ -105,7 +120,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, owner, linked, stack[-1].dropped, stack[-1].content))
+            found.append(Block(text, owner, linked, stack[-1].hints, stack[-1].content))
         parts.clear()
         linked = 0
 
@@ -116,8 +131,20 @@ def blocks(page: str) -> list[Block]:
         if tag in CONTENT and not content:
             contents += 1
             content = contents
-        dropped = top.dropped or tag in DROPPED or (tag == "header" and not top.content)
-        stack.append(_Open(tag, dropped or _is_marked(tag, attributes, bool(top.content)), content))
+        kind = hint(tag, attributes)
+        hints = top.hints
+        if kind:
+            hinted.append(kind)
+            hints = (*hints, len(hinted) - 1)
+        stack.append(_Open(tag, hints, content))
+
+    def hint(tag: str, attributes: str) -> str:
+        if _HIDDEN.search(attributes):
+            return HIDDEN
+        inside = bool(stack[-1].content)
+        if tag in DROPPED or (tag == "header" and not inside):
+            return tag
+        return NAMED if _is_hinted(tag, attributes, inside) else ""
 
     def pop(tag: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -149,46 +176,94 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if closes:
-            if stack[-1].dropped:
+            if stack[-1].hints:
                 flush()
             pop(tag)
         elif not attributes.endswith("/"):
-            before = stack[-1].dropped
-            if tag in DROPPED or _is_marked(tag, attributes, bool(stack[-1].content)) != before:
+            if hint(tag, attributes):
                 flush()
             push(tag, attributes)
     rest = page[at:]
     parts.append(rest)
     linked += len(rest) if links else 0
     flush()
-    return found
+    return found, hinted
 
 
-def classify(found: list[Block]) -> None:
-    """Label every block: first by its own text and place, then short ones by their neighbours.
+def _first_pass(found: list[Block]) -> list[int]:
+    """Decide blocks by their own text; the words of each that reads as prose, else 0.
 
-    First pass.  Bad: in an element that holds no content, mostly links, or outside the page's
-    articles where those have text of their own.  Good: enough words, of which enough are stop
-    words; in an article, also long text of few stop words, since nothing of it may go.  The rest
-    is undecided.  Second pass.  An undecided block takes the label of the nearest decided one in
-    the same article (or outside all); at equal distance the next one counts for headings and the
-    previous one otherwise.  With no decided block there, text of an article is good.
+    Good: enough words, few links, and enough stop words.  Bad: mostly links.  Where no block of the
+    page has enough stop words, its language is not known here, and length and links decide alone.
     """
+    long, fluent = [], []
     for block in found:
         words = _WORD.findall(block.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         links = block.linked / max(1, len(block.text))
-        if block.dropped or (links > LINK_SHARE and not block.content):
-            block.label = False
-        elif links <= LINK_SHARE and len(words) >= SHORT_WORDS and (stops >= STOP_SHARE or block.content):
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        long.append(len(words) if links <= LINK_SHARE and len(words) >= SHORT_WORDS else 0)
+        fluent.append(stops >= STOP_SHARE)
+        block.label = False if links > LINK_SHARE and not block.content else None
+    known = any(n and f for n, f in zip(long, fluent, strict=True))
+    prose = [n if f or not known else 0 for n, f in zip(long, fluent, strict=True)]
+    for block, n, own in zip(found, prose, long, strict=True):
+        # In an article, long text of few stop words stays too: nothing of it may go.
+        if n or (own and block.content):
             block.label = True
-    articles = {b.content for b in found if b.content and not b.dropped}
-    if articles:
+    return prose
+
+
+def _wrappers(found: list[Block], hinted: list[str], prose: list[int]) -> set[int]:
+    """Hinted elements that hold the content: most of the prose in articles, or in all for a form."""
+    total, inner = sum(prose), [0] * len(hinted)
+    cored = [0] * len(hinted)
+    for block, n in zip(found, prose, strict=True):
+        for k in block.hints:
+            inner[k] += n
+            cored[k] += n if block.content else 0
+    return {
+        k for k, tag in enumerate(hinted)
+        if tag != HIDDEN and total and (cored[k] > MOST * total or (tag == "form" and inner[k] > MOST * total))
+    }
+
+
+def classify(found: list[Block], hinted: list[str]) -> None:
+    """Label every block: first by its own text and place, then short ones by their neighbours.
+
+    First pass: see :func:`_first_pass`; and bad are blocks in an element whose hint holds, and those
+    outside the page's articles where these hold most of the prose that no hint takes away.  Second
+    pass.  An undecided block takes the label of the nearest decided one in the same article (or
+    outside all); at equal distance the next one counts for headings and the previous one otherwise.
+    With no decided block there, text of an article is good.  A page that is left without any good
+    block is classified again without the hints of names and forms.
+    """
+    prose = _first_pass(found)
+    void = _wrappers(found, hinted, prose)
+    _label(found, prose, [k not in void for k in range(len(hinted))])
+    if not any(b.label for b in found) and any(tag in (NAMED, "form") for tag in hinted):
+        prose = _first_pass(found)
+        _label(found, prose, [tag not in (NAMED, "form") for tag in hinted])
+
+
+def _label(found: list[Block], prose: list[int], holds: list[bool]) -> None:
+    for block in found:
+        block.dropped = any(holds[k] for k in block.hints)
+        if block.dropped:
+            block.label = False
+    free = [n if not b.dropped else 0 for b, n in zip(found, prose, strict=True)]
+    inside = sum(n for b, n in zip(found, free, strict=True) if b.content)
+    has_text = any(b.content and not b.dropped for b in found)
+    places = {b.content for b in found}
+    if has_text and inside >= MOST * sum(free):
         for block in found:
             if not block.content:
                 block.label = False
+    else:  # an article of the page is not the page's article
+        for block in found:
+            if block.label is None and block.content and not block.dropped:
+                block.content = 0
     labels = [b.label for b in found]
-    for place in {b.content for b in found}:
+    for place in places:
         own = [i for i, b in enumerate(found) if b.content == place and not (b.dropped and place)]
         decided = [k for k, i in enumerate(own) if labels[i] is not None]
         for k, i in enumerate(own):
@@ -202,8 +277,8 @@ def classify(found: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     """The main text of one page: its good blocks, joined by blank lines."""
-    found = blocks(page or "")
-    classify(found)
+    found, hinted = blocks(page or "")
+    classify(found, hinted)
     return "\n\n".join(b.text for b in found if b.label)
 
 
