@@ -39,11 +39,11 @@ MEMBERS = 8192
 #: ... and never fewer than this, so that a small table spreads as well.
 LEAST_SALTS = 64
 
-#: A member (n NULL), or what an owner has summed (row NULL).
-_MEMBER = "row long, position int, entry int, salt int, gen int, part array<int>, n long, sums array<long>"
+#: A member (n NULL; its part as 32-bit numbers), or what an owner has summed (row NULL).
+_MEMBER = "row long, position int, entry int, salt int, gen int, part binary, n long, sums array<long>"
 _ARROW = pa.schema([
     ("row", pa.int64()), ("position", pa.int32()), ("entry", pa.int32()), ("salt", pa.int32()),
-    ("gen", pa.int32()), ("part", pa.list_(pa.int32())), ("n", pa.int64()), ("sums", pa.list_(pa.int64())),
+    ("gen", pa.int32()), ("part", pa.binary()), ("n", pa.int64()), ("sums", pa.list_(pa.int64())),
 ])
 
 #: One codebook per part position: entries x width.
@@ -105,13 +105,23 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
+def _parts(batch: pa.RecordBatch) -> np.ndarray:
+    """members x width, of a batch without sums."""
+    column = batch.column(_ARROW.names.index("part"))
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    body = memoryview(data)[ends[0] : ends[-1]] if data else b""
+    return np.frombuffer(body, np.int32).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int32)
+
+
 def _members(row, position, entry, salt, gen, part) -> pa.RecordBatch:
     n = len(row)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * part.shape[1]),
-                                     pa.array(part.reshape(-1).astype(np.int32)))
+    ends = np.arange(n + 1, dtype=np.int32) * 4 * part.shape[1]
+    body = np.ascontiguousarray(part, np.int32)
+    parts = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(body)])
     ints = [pa.array(c.astype(np.int32)) for c in (position, entry, salt, np.broadcast_to(gen, n))]
     none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array(row), *ints, lists, *none], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(row), *ints, parts, *none], schema=_ARROW)
 
 
 def _settle(books: Codebooks, salts: int):
@@ -136,7 +146,7 @@ def _residents(batch: pa.RecordBatch, rounds: list[Codebooks]) -> tuple[np.ndarr
     ``rounds`` are the codebooks of rounds 1, 2, ... up to the present one.
     """
     position, entry, gen = (batch.column(_ARROW.names.index(c)).to_numpy() for c in ("position", "entry", "gen"))
-    part = _matrix(batch.column(5), batch.num_rows)
+    part = _parts(batch)
     resident, new, distance = np.ones(len(entry), bool), entry.copy(), np.zeros(len(entry), np.int64)
     for p in np.unique(position):
         for known in range(2, len(rounds) + 1):
@@ -173,11 +183,10 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         summed = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
         members, sums = batch.filter(pa.array(~summed)), batch.filter(pa.array(summed))
-        for own, n, parts in ((members, np.ones(members.num_rows, np.int64), 5),
-                              (sums, sums.column(6).to_numpy(), 7)):
+        for own, n, parts in ((members, np.ones(members.num_rows, np.int64), _parts),
+                              (sums, sums.column(6).to_numpy(), lambda own: _matrix(own.column(7), own.num_rows))):
             if own.num_rows:
-                owners = np.stack([own.column(c).to_numpy() for c in (1, 2, 3)], 1)
-                held.add(owners, n, _matrix(own.column(parts), own.num_rows))
+                held.add(np.stack([own.column(c).to_numpy() for c in (1, 2, 3)], 1), n, parts(own))
         yield members
     yield held.batch()
 
