@@ -37,7 +37,7 @@ LENGTH = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 STRIDE = LENGTH - max(WIDTHS) + 1
-SHARDS, ROUNDS, BATCH = 4, 6, 64
+SHARDS, ROUNDS, BATCH = 8, 8, 64
 RATE = 0.004
 HELD_OUT = 5
 UNKNOWN = "und"
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, bound: int = WINDOWS) -> Model:
     names = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     shard = F.pmod(F.xxhash64("key", "start"), F.lit(SHARDS)).cast("int")
     rows = materialize(sample.select("key", "start", "window", names[F.col("lang")].alias("cls"),
-                                     shard.alias("shard")).repartition(SHARDS, "shard"), "shards")
+                                     shard.alias("shard")), "shards")
     for round_ in range(ROUNDS):
         passed = rows.groupBy("shard").applyInPandas(_passes(net, round_), "shard int, n long, net binary")
         found = sorted(passed.collect(), key=lambda r: r.shard)  # SHARDS rows
