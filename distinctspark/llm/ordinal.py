@@ -17,11 +17,13 @@ from distinctspark.session import materialize
 
 #: Bound of the labelled sample the model is fitted on; scoring covers every document.
 TRAIN_ROWS = 20_000
-#: A hashed word is a feature if so many sampled documents hold it.
-MIN_DOCS = 20
-#: ... and if the mean grade of those differs from the sample's by so many standard errors.
-MIN_Z = 6.0
-SHARDS, ROUNDS, EPOCHS, BATCH = 8, 8, 6, 32
+#: A hashed word that only one sampled document holds says nothing about others.
+MIN_DOCS = 2
+#: Standard errors by which the mean grade of a feature's documents must differ from the sample's
+#: for any weight.  Beyond it, a feature learns in proportion to 1 - (EVIDENCE / z)^2, as a shrunken
+#: mean does: little evidence gives a little weight, at every size of the sample.
+EVIDENCE = 2.0
+SHARDS, ROUNDS, EPOCHS, BATCH = 8, 12, 6, 32
 RATE, DECAY = 1.0, 1e-6
 #: A document is accepted if it has the top grade at least this probably.
 ACCEPT = 0.5
@@ -120,8 +122,11 @@ def _places(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return at[known[at] == codes].astype(np.int32)
 
 
-def _step(model: Ordinal) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One shard's stochastic gradient epochs from the shared model."""
+def _step(model: Ordinal, scale: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One shard's stochastic gradient epochs from the shared model.
+
+    A feature's value is its ``scale``, so both its score and its gradient are.
+    """
 
     def train(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("order", kind="stable")
@@ -135,7 +140,7 @@ def _step(model: Ordinal) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 pick = order[low : low + BATCH]
                 flat = np.concatenate([rows[i] for i in pick])
                 row = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-                score = np.bincount(row, weights=w[flat], minlength=len(pick))
+                score = np.bincount(row, weights=(w * scale)[flat], minlength=len(pick))
                 z = np.clip(score[:, None] - cuts, -60, 60)
                 tail = 1 / (1 + np.exp(-z))
                 # P(grade) = tail[grade - 1] - tail[grade], with tails 1 and 0 at the ends.
@@ -145,7 +150,7 @@ def _step(model: Ordinal) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 slope = full * (1 - full)
                 up, down = slope[i, y] / p, slope[i, y + 1] / p
                 g_score = (down - up) / len(pick)
-                gw = np.bincount(flat, weights=g_score[row], minlength=len(w)) + DECAY * w
+                gw = np.bincount(flat, weights=g_score[row], minlength=len(w)) * scale + DECAY * w
                 gc = np.zeros(len(cuts) + 2)
                 np.add.at(gc, y, up / len(pick))
                 np.add.at(gc, y + 1, -down / len(pick))
@@ -164,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ord
     The sample is the ``train_rows`` labels of smallest hashed doc_id; only that many ids are
     broadcast.  It is trained in ``SHARDS`` tasks whose models are averaged, ``ROUNDS`` times
     (iterative parameter mixing), so no task holds more than its share of the sample.  Labels
-    that are NULL or have no document are ignored; without any, every document is accepted.
+    that are NULL or have no document are ignored; without any, every document is accepted.  Where no
+    feature tells grades apart, every document has the sample's share of the top grade.
     """
     order = F.xxhash64("doc_id")
     grade = (F.col("quality") + 1 - F.col("toxic")).cast("int")
@@ -175,28 +181,37 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ord
         F.broadcast(sample.drop("order")), "doc_id").select("doc_id", "grade", "text")
     table = texts.mapInArrow(_featurise(None), "doc_id long, grade int, codes array<long>")
     mean, spread = texts.agg(F.avg("grade"), F.stddev_pop("grade")).first()
-    common = table.select("grade", F.explode("codes").alias("code")).groupBy("code").agg(
-        F.count("*").alias("n"), F.sum("grade").alias("sum")).where(F.col("n") >= MIN_DOCS)
+    if mean is None:
+        return Ordinal()
+    found = []
     if spread:  # with one grade only, nothing tells documents apart
-        z = (F.col("sum") - F.col("n") * mean) / (F.sqrt("n") * spread)
-        common = common.where(F.abs(z) >= MIN_Z)
-    codes = np.sort(np.array([r.code for r in common.collect()], dtype=np.int64)).view(np.uint64)
+        common = table.select("grade", F.explode("codes").alias("code")).groupBy("code").agg(
+            F.count("*").alias("n"), F.sum("grade").alias("sum")).where(F.col("n") >= MIN_DOCS)
+        z = F.abs(F.col("sum") - F.col("n") * mean) / (F.sqrt("n") * spread)
+        # At most the features of the bounded sample.
+        found = common.select("code", z.alias("z")).where(F.col("z") > EVIDENCE).collect()
+    codes = np.array([r.code for r in found], dtype=np.int64).view(np.uint64)
     if len(codes) == 0:
-        return Ordinal()
+        tails = texts.agg(*[F.avg((F.col("grade") > k).cast("int")) for k in range(GRADES - 1)]).first()
+        p = np.clip(np.array(tails, dtype=float), 1e-6, 1 - 1e-6)
+        return Ordinal(cuts=np.log((1 - p) / p))
+    order_of = np.argsort(codes)
+    codes = codes[order_of]
+    scale = 1 - (EVIDENCE / np.array([r.z for r in found]))[order_of] ** 2
     model = Ordinal(codes, np.zeros(len(codes)), np.linspace(-2.0, 0.0, GRADES - 1))
     table = texts.mapInArrow(_featurise(codes), "doc_id long, grade int, codes array<int>")
     shards = table.withColumn("order", order).withColumn("shard", F.expr(f"pmod(order, {SHARDS})"))
     shards = materialize(shards, "labelled")
     for _ in range(ROUNDS):
         parts = shards.groupBy("shard").applyInPandas(
-            _step(model), "shard int, n long, weights array<double>, cuts array<double>")
+            _step(model, scale), "shard int, n long, weights array<double>, cuts array<double>")
         parts = sorted(parts.collect(), key=lambda r: r.shard)
         share = np.array([p.n for p in parts], dtype=float) / sum(p.n for p in parts)
         model = Ordinal(
             codes,
             sum(s * np.array(p.weights) for s, p in zip(share, parts, strict=True)),
             sum(s * np.array(p.cuts) for s, p in zip(share, parts, strict=True)))
-    return model
+    return Ordinal(codes, model.weights * scale, model.cuts)
 
 
 def _grader(model: Ordinal, text_at: int, kept: int, accept: float) -> Callable:
