@@ -15,6 +15,9 @@ from distinctspark.llm.words import Words, window_hashes, word_chunks
 from distinctspark.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that are not counted; their seeds are spans beside the base ones.
+SECRET = "secret"
+ORDER = (*KINDS, SECRET)
 #: Words left of an entity that make its pattern.
 CONTEXT = 2
 #: A pattern of a kind needs so many different entities of it, ...
@@ -34,6 +37,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[^\s\"'<>(),;=:\[\]{}|]+")
 _DIGITS = re.compile(r"[^0-9]+")
+#: Seeds of secrets: long runs of small hexadecimal digits, of both sorts.  Keys that are written in
+#: other ways are what their contexts are there to discover.
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])")
 Span = tuple[int, int]
 
 
@@ -79,6 +85,12 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return found
 
 
+def secret_seeds(text: str, taken: list[Span]) -> list[Span]:
+    """Hexadecimal keys clear of the base entities."""
+    found = [m.span() for m in _HEX.finditer(text)]
+    return [s for s in found if not any(a < s[1] and s[0] < b for a, b in taken)]
+
+
 def candidate_spans(text: str, taken: list[Span]) -> list[Span]:
     """Tokens that may be identifiers: four digits or an @, clear of the base entities."""
     found, taken, k = [], sorted(taken), 0
@@ -129,8 +141,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = texts[chunk.first + row].as_py() or ""
                 base = base_spans(text)
                 spans = [(kind, *span) for kind in KINDS for span in base[kind]]
-                extra = candidate_spans(text, [s for own in base.values() for s in own])
-                every = spans + [(None, *span) for span in extra]
+                taken = [span for own in base.values() for span in own]
+                seeds = secret_seeds(text, taken)
+                extra = candidate_spans(text, taken + seeds)
+                every = spans + [(SECRET, *span) for span in seeds] + [(None, *span) for span in extra]
                 if every and contexts is None:
                     hashes, at = window_hashes(chunk, CONTEXT)
                     contexts = dict(zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True))
@@ -179,7 +193,7 @@ def _sieve(patterns: DataFrame) -> np.ndarray:
 def bootstrap(texts: DataFrame, mentions: DataFrame) -> DataFrame:
     """(d, t, kind, start, end) of identifiers that trusted contexts discover.
 
-    ``mentions`` are base entities (with a kind) and candidates (without) with their pattern, the
+    ``mentions`` are seeds (with a kind) and candidates (without) with their pattern, the
     hash of the words left of them.  Patterns that stand before MIN_ENTITIES different entities of
     a kind enter the graph; how often they stand in all texts, whatever follows, is counted over
     the corpus.  Then, ROUNDS times,
@@ -187,7 +201,7 @@ def bootstrap(texts: DataFrame, mentions: DataFrame) -> DataFrame:
         confidence(pattern, kind) = sum of its instances' scores / (occurrences + PRIOR)
         score(instance, kind)     = 1 - product over its trusted patterns of (1 - confidence)
 
-    where base entities score 1.  A candidate is accepted as the kind of its best score from
+    where seeds score 1.  A candidate is accepted as the kind of its best score from
     ACCEPT on.  Words that any text may hold before an entity stand mostly before other words, so
     they are not trusted.
     """
@@ -230,8 +244,9 @@ def bootstrap(texts: DataFrame, mentions: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of ``docs``.
 
-    The counts and the digest are of the base entities; ``spans`` lists these and the identifiers
-    that bootstrapping adds, as kind:start:end (code points, end exclusive), by kind, then start.
+    The counts and the digest are of the base entities; ``spans`` lists these, the seeds of secrets
+    and the identifiers that bootstrapping adds, as kind:start:end (code points, end exclusive), by
+    kind (secrets last), then start.
 
     A NULL text is empty, with no spans.  Rows equal in doc_id (NULL included) and text are one
     document and get equal results.  Other columns are ignored; an empty table gives no rows.
@@ -244,8 +259,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     scanned = materialize(
         texts.mapInArrow(_scan, f"d long, t long, base string, {counts}, mentions {kind}"), "scanned")
     mentions = scanned.select("d", "t", F.explode("mentions").alias("m")).select("d", "t", "m.*")
-    added = bootstrap(texts, mentions).distinct()
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    seeds = mentions.where(F.col("kind") == SECRET).select("d", "t", "kind", "start", "end")
+    added = bootstrap(texts, mentions).unionByName(seeds).distinct()
+    order = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
     added = added.groupBy("d", "t").agg(
         F.collect_list(F.struct(order.alias("order"), "start", "end", "kind")).alias("added"))
     rows = scanned.drop("mentions").join(added, ["d", "t"], "left")
