@@ -225,12 +225,13 @@ def _searcher(k: int) -> Callable:
 def _joined(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
     """The ``k`` nearest different rows of each query among these."""
     query, vec, score = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
-    order = np.lexsort((vec, score, query))
+    order = np.lexsort((score, vec, query))
     query, vec, score = query[order], vec[order], score[order]
     if len(query):
-        same = (query[1:] == query[:-1]) & (vec[1:] == vec[:-1]) & (score[1:] == score[:-1])
-        new = np.append(True, ~same)
+        new = np.append(True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1]))
         query, vec, score = query[new], vec[new], score[new]
+        order = np.lexsort((vec, score, query))
+        query, vec, score = query[order], vec[order], score[order]
         starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
         sizes = np.diff(np.append(starts, len(query)))
         near = np.arange(len(query)) - np.repeat(starts, sizes) < k
@@ -241,7 +242,7 @@ def _joined(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     near = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"])
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
 
 
@@ -264,11 +265,15 @@ def nearest_neighbours(
 
     Distances are Euclidean on the original vectors; ties go to the smaller vec_id.  Rows whose
     vec_id or vector is NULL, whose vector is empty, zero or holds NULL or non-finite components, or
-    has another dimension than most, take no part.  Rows of one vec_id are one vector.  Other
+    has another dimension than most, take no part.  Rows of one vec_id are one result, at their least
+    distance, and a query whose id repeats asks with each of its vectors.  Other
     columns are ignored; an empty table gives no rows.
     """
+    # As precise as they come: doubles stay doubles.
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    vector = "array<float>" if single else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
-                          F.col("embedding").cast("array<float>").alias("v"), is_query.alias("ask"))
+                          F.col("embedding").cast(vector).alias("v"), is_query.alias("ask"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     spread = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
     common = spread.orderBy(F.desc("n"), "dim").first()
@@ -280,7 +285,7 @@ def nearest_neighbours(
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     tree = fit_tree(np.array([r.v for r in sample], dtype=np.float64))
     index = materialize(
-        rows.select("vec_id", "v").mapInArrow(_assigner(tree), "vec_id long, v array<float>, leaf int"),
+        rows.select("vec_id", "v").mapInArrow(_assigner(tree), f"vec_id long, v {vector}, leaf int"),
         "index")
     sizes = np.zeros(tree.leaves, dtype=np.int64)
     counts = index.groupBy("leaf").agg(F.count("*").alias("n"))
@@ -290,7 +295,7 @@ def nearest_neighbours(
     queries = rows.where("ask").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     visits = _calibrate(tree, index, queries, k, target)
     routed = queries.mapInArrow(
-        _router(tree, sizes, visits, k), "query_id long, q array<float>, leaf int")
+        _router(tree, sizes, visits, k), f"query_id long, q {vector}, leaf int")
     chunks = routed.groupBy("leaf", F.expr(f"pmod(xxhash64(query_id), greatest(1, {_shares(queries)}))")
                             .alias("part")).agg(
         F.collect_list(F.struct("query_id", "q")).alias("queries")).drop("part")
