@@ -27,8 +27,9 @@ def with_anchors(df: DataFrame, texts: dict[str, str]) -> DataFrame:
 
     Hashes of 2, 4 and 8 words are built by doubling, and so are the minima over the K - S + 1
     inner hashes.  Every layer is a projection of its own, so no array is computed twice; each
-    costs a pass over the words.  A text of 1 to K - 1 words has one anchor, its whole sequence;
-    no words give none.  NULL counts as empty.
+    costs a pass over the words.  A text of 1 to K - 1 words has one anchor, its whole sequence, and a
+    longer one without a syncmer the least of its k-mers, so every text with words has an anchor.
+    No words give none.  NULL counts as empty.
     """
     kept = df.columns
 
@@ -56,10 +57,13 @@ def with_anchors(df: DataFrame, texts: dict[str, str]) -> DataFrame:
         layer({out: F.zip_with(m7, out, lambda m, edge: m == edge), m7: None})
         top = F.zip_with(out, h8, lambda edge, whole: F.when(edge, F.shiftright(whole, 32).cast("int")))
         whole = F.shiftright(F.xxhash64(h), 32).cast("int")
-        layer({out: F.when(F.size(h) >= K, F.array_distinct(F.array_compact(
-            F.slice(top, 1, F.greatest(F.size(h) - (K - 1), F.lit(0))))))
-            .when(F.size(h) > 0, F.array(whole))
-            .otherwise(F.array().cast("array<int>")), h8: None, h: None})
+        n = F.size(h) - (K - 1)
+        layer({out: F.when(n > 0, F.array_distinct(F.array_compact(F.slice(top, 1, F.greatest(n, F.lit(0))))))
+               .when(F.size(h) > 0, F.array(whole)).otherwise(F.array().cast("array<int>"))})
+        # A short text may hold no syncmer; its least k-mer stands for it then.
+        least = F.shiftright(F.array_min(F.slice(h8, 1, F.greatest(n, F.lit(0)))), 32).cast("int")
+        layer({out: F.when((F.size(out) == 0) & (n > 0), F.array(least)).otherwise(F.col(out)),
+               h8: None, h: None})
     names = {f"_out{i}": name for i, name in enumerate(texts.values())}
     return df.withColumnsRenamed(names).select(*kept, *texts.values())
 
