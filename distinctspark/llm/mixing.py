@@ -14,6 +14,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: About so many blocks in the mix, whatever its size: targets are met within half a block.
 BLOCKS = 1 << 18
+#: A source of fewer than so many of these blocks is cut into this many smaller ones of its own.
+LEAST_BLOCKS = 64
 #: Points drawn per needed slot.  Gaps of n golden-ratio points are below 2.62 / n, so every
 #: source has met its quota before they run out.
 MARGIN = 4
@@ -79,7 +81,7 @@ def placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
     n = rows.count()
     bits = max(0, math.ceil(math.log2(n) / 2)) if n else 0
     rows = join_group_params(
-        rows, sources.select("source", "sid", "source_size", "target"), ["source"], "source_size")
+        rows, sources.select("source", "sid", "source_size", "per_block"), ["source"], "source_size")
     rows = rows.withColumn("part", F.shiftright("h", 60 - bits))
     totals = rows.groupBy("sid", "part").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,23 +90,25 @@ def placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return rows.join(offsets, ["sid", "part"]).select(
-        "doc_id", "h", "sid", "size", (F.col("offset") + F.col("inner")).alias("start"))
+        "doc_id", "h", "sid", "size", "per_block", (F.col("offset") + F.col("inner")).alias("start"))
 
 
-def schedule(sources: DataFrame, block: int) -> DataFrame:
+def schedule(sources: DataFrame) -> DataFrame:
     """(sid, rank, slot, block): the blocks of the mix; ``rank`` counts each source's own slots.
 
+    ``sources`` has the words ``per_block`` of each source.
+
     A source needs ``quota`` slots: whole rounds over its blocks, then those of the last, partial
     round, whose words come nearest to its target.  Cells 0 to sum(quota) - 1 are laid out source
     by source; slot i takes the cell under the i-th golden-ratio point, and a source that has met
     its quota is passed over.
     """
     spark = sources.sparkSession
-    blocks = F.ceil(F.col("source_size") / block)
+    blocks = F.ceil(F.col("source_size") / F.col("per_block"))
     rounds = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(REPEATS))
     rest = F.col("target") - rounds * F.col("source_size")
     quota = sources.where("source_size > 0").select(
-        "sid", blocks.alias("blocks"), (rounds * blocks + F.least(F.round(rest / block), blocks)).cast("long").alias("quota"))
+        "sid", blocks.alias("blocks"), (rounds * blocks + F.least(F.round(rest / F.col("per_block")), blocks)).cast("long").alias("quota"))
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     quota = quota.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
     quota = materialize(quota.where("quota > 0"), "quota")
@@ -125,38 +129,64 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
         "sid", "rank", "slot", F.expr("rank % blocks").alias("block"))
 
 
+def _laid_out(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sized documents, sources, parts, slots).
+
+    ``parts`` has a row per document and block it stands in: sid, doc_id, h, size, start, block, and
+    the words ``part`` of it there.  ``slots`` is the schedule.
+    """
+    table = materialize(sized(docs, seed), "sized")
+    sources = targets(table.groupBy("source").agg(F.sum("size").alias("source_size")))
+    words = table.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    block = max(1, -(-words // BLOCKS))
+    own = F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))
+    sources = materialize(sources.withColumn("per_block", F.greatest(own, F.lit(1))), "sources")
+    slots = materialize(schedule(sources), "slots")
+    rows = materialize(placed(table, sources), "placed")
+    size = F.col("per_block")
+    spans = rows.select("*", F.explode(F.sequence(
+        F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)
+    )).alias("block"))
+    low = F.greatest(F.col("start"), F.col("block") * size)
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size)
+    return table, sources, spans.withColumn("part", high - low).drop("per_block"), slots
+
+
+def mix_order(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(slot, start, doc_id, words): the mix itself, in the order of slot and start.
+
+    A row is the part of a document that a block takes at a slot.  Documents without words and blocks
+    that no slot takes have no rows.
+    """
+    _, _, parts, slots = _laid_out(docs, seed)
+    taken = parts.join(slots.select("sid", "block", "slot"), ["sid", "block"])
+    return taken.select("slot", "start", "doc_id", F.col("part").alias("words"))
+
+
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, h, source, size, source_size, target, taken) of every row of ``docs``.
+    """(doc_id, h, source, size, source_size, target, taken, first_slot) of every row of ``docs``.
 
-    ``taken`` counts the words the mix takes of the document, repeats included.  Documents of a
+    ``taken`` counts the words the mix takes of the document, repeats included, and ``first_slot`` is
+    the slot of the schedule that takes the first of them (NULL where none does).  Documents of a
     source are shuffled and laid end to end; the stream is cut into blocks of equal words (the
     last may be shorter), and a source's r-th slot takes its block r mod blocks.
 
     A NULL or empty text has size 0 and takes nothing; NULL is a source of its own.  Equal rows
     take what their places take.  Other columns are ignored.  An empty table gives an empty mix.
     """
-    table = materialize(sized(docs, seed), "sized")
-    sources = materialize(
-        targets(table.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
-    words = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first().n
-    block = max(1, -(-words // BLOCKS))
-    times = schedule(sources, block).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    rows = materialize(placed(table, sources), "placed")
-    spans = rows.select("*", F.explode(F.sequence(
-        F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    )).alias("block"))
-    low = F.greatest(F.col("start"), F.col("block") * block)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    taken = spans.withColumn("part", high - low).join(times, ["sid", "block"], "left")
+    table, sources, parts, slots = _laid_out(docs, seed)
+    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
+    taken = parts.join(times, ["sid", "block"], "left")
     taken = taken.groupBy("sid", "start", "doc_id", "h", "size").agg(
-        F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).alias("taken"))
+        F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).alias("taken"),
+        F.min("slot").alias("first_slot"))
     names = sources.select("sid", "source", "source_size", "target")
     full = join_group_params(taken, names.withColumn("w", F.col("source_size")), ["sid"], "w")
     empty = join_group_params(
         table.where("size = 0"), names.drop("sid").withColumn("w", F.lit(1)), ["source"], "w")
-    columns = ["doc_id", "h", "source", "size", "source_size", "target", "taken"]
-    return full.select(*columns).unionByName(
-        empty.withColumn("taken", F.lit(0).cast("long")).select(*columns))
+    columns = ["doc_id", "h", "source", "size", "source_size", "target", "taken", "first_slot"]
+    none = {"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}
+    return full.select(*columns).unionByName(empty.withColumns(none).select(*columns))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:

@@ -36,11 +36,15 @@ WITH l AS (
     unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> ''),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i
   FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+t AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM c),
 w AS (SELECT doc_id, i, [line, lead(line) OVER d, lead(line, 2) OVER d] AS run,
-    lead(j, 2) OVER d AS whole FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy
-  FROM w WHERE whole IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM s WHERE copy > 1),
+    n AS n1, n + lead(n) OVER d AS n2, lead(n, 2) OVER d AS n3
+  FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, 3 AS k, run FROM w WHERE n3 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 2, run[1:2] FROM w WHERE n2 >= 50
+  UNION ALL SELECT doc_id, i, 1, run[1:1] FROM w WHERE n1 >= 50),
+s AS (SELECT doc_id, i, k, row_number() OVER (PARTITION BY k, run ORDER BY doc_id, i) AS copy FROM r),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(k)) AS i FROM s WHERE copy > 1),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
     coalesce(string_agg(l.line, chr(10) ORDER BY l.j) FILTER (WHERE g.i IS NULL), '') AS kept
   FROM l LEFT JOIN c USING (doc_id, j) LEFT JOIN g ON g.doc_id = c.doc_id AND g.i = c.i
@@ -69,27 +73,28 @@ f AS (SELECT rest AS free_rest, weights AS free_weights FROM c WHERE NOT capped
   ORDER BY cap / weight, sid LIMIT 1),
 t AS (SELECT sid, source, source_size, CASE WHEN capped THEN cap::DOUBLE
     ELSE free_rest::DOUBLE * weight / free_weights END AS target FROM c LEFT JOIN f ON true),
-b AS (SELECT greatest(1, ceil(sum(size) / 262144.0))::BIGINT AS block FROM s),
+b AS (SELECT t.*, greatest(1, least((SELECT greatest(1, ceil(sum(size) / 262144.0))::BIGINT FROM s),
+    source_size // 64)) AS block FROM t),
 q AS (SELECT sid, blocks, (rounds * blocks + least(round((target - rounds * source_size) / block),
     blocks))::BIGINT AS quota FROM (SELECT *, ceil(source_size / block)::BIGINT AS blocks,
-      least(floor(target / source_size), 3)::BIGINT AS rounds FROM t, b WHERE source_size > 0)),
+      least(floor(target / source_size), 3)::BIGINT AS rounds FROM b WHERE source_size > 0)),
 o AS (SELECT *, sum(quota) OVER (ORDER BY sid) - quota AS low, sum(quota) OVER (ORDER BY sid) AS high,
     sum(quota) OVER () AS cells FROM q),
 p AS (SELECT i, (((i * 2654435769) & 4294967295) * cells) >> 32 AS cell FROM (
   SELECT unnest(range(4 * cells::BIGINT)) AS i, cells::BIGINT AS cells FROM (SELECT max(cells) AS cells FROM o))),
-k AS (SELECT sid, blocks, quota, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank
+k AS (SELECT sid, blocks, quota, i, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank
   FROM p JOIN o ON p.cell >= o.low AND p.cell < o.high),
-m AS (SELECT sid, rank % blocks AS block_no, count(*) AS times FROM k WHERE rank < quota GROUP BY 1, 2),
-d AS (SELECT s.doc_id, s.h, s.size, t.sid, t.source_size, t.target,
+m AS (SELECT sid, rank % blocks AS block_no, count(*) AS times, min(i) AS slot FROM k WHERE rank < quota GROUP BY 1, 2),
+d AS (SELECT s.doc_id, s.h, s.size, t.sid, t.source_size, t.target, t.block,
     sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.h, s.doc_id, s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+  FROM s JOIN b t ON s.source IS NOT DISTINCT FROM t.source),
 x AS (SELECT *, unnest(range((start // block)::BIGINT, ((start + size - 1) // block + 1)::BIGINT))
-    AS block_no FROM d, b WHERE size > 0),
+    AS block_no FROM d WHERE size > 0),
 y AS (SELECT x.doc_id, x.h, sum((least(start + size, (block_no + 1) * block)
-    - greatest(start, block_no * block)) * coalesce(times, 0))::BIGINT AS taken
+    - greatest(start, block_no * block)) * coalesce(times, 0))::BIGINT AS taken, min(slot)::BIGINT AS first_slot
   FROM x LEFT JOIN m USING (sid, block_no) GROUP BY 1, 2)
-SELECT d.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+SELECT d.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot
 FROM d LEFT JOIN y ON y.doc_id = d.doc_id AND y.h = d.h
 """
 

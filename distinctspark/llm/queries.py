@@ -97,7 +97,7 @@ def op9_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 @query
