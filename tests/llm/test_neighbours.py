@@ -46,3 +46,11 @@ def test_few_and_none(spark):
     got = nearest_neighbours(rows_of(spark, few), F.col("vec_id") % 100 == 0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2)]
     assert nearest_neighbours(rows_of(spark, few).limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_doubles_are_measured_as_doubles(spark):
+    near = [(0, [1.0, 1.0]), (1, [1.0, 1.0 + 1e-10]), (2, [1.0, 1.0 + 3e-10]), (2, [1.0, 1.0 + 2e-10])]
+    rows = spark.createDataFrame(near, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(rows, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2]
+    assert abs(got[0].score - 1e-10) < 1e-16 and abs(got[1].score - 2e-10) < 1e-16

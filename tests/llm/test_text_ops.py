@@ -213,6 +213,122 @@ def test_bootstrapped_identifiers(spark, odd_rows):
     assert pii.personal_data(frame(spark, [])).count() == 0
 
 
+def plain_bootstrap(texts):
+    """Spans that the graph adds, computed with dictionaries."""
+    mentions, totals = [], {}
+    for i, text in enumerate(texts):
+        low = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+               for w in re.findall(r"[^ \t-\r]+", text)]
+        ends = [m.end() for m in re.finditer(r"[^ \t-\r]+", text)]
+        for pair in zip(low, low[1:]):
+            totals[pair] = totals.get(pair, 0) + 1
+        base = pii.base_spans(text)
+        taken = [s for own in base.values() for s in own]
+        seeds = pii.secret_seeds(text, taken)
+        every = [(k, s) for k in pii.KINDS for s in base[k]] + [("secret", s) for s in seeds]
+        every += [(None, s) for s in pii.candidate_spans(text, taken + seeds)]
+        for kind, (a, b) in every:
+            n = sum(e <= a for e in ends)
+            mentions.append((i, kind, a, b, tuple(low[n - 2 : n]) if n >= 2 else None, text[a:b].lower()))
+    entities = {}
+    for _, kind, _, _, pattern, value in mentions:
+        if kind and pattern:
+            entities.setdefault((pattern, kind), set()).add(value)
+    strong = {key for key, own in entities.items() if len(own) >= pii.MIN_ENTITIES}
+    score = {}
+    for _ in range(pii.ROUNDS):
+        trust = {}
+        for pattern, kind in strong:
+            own = [(1.0 if k == kind else 0.0) if k else score.get((v, kind), 0.0)
+                   for _, k, _, _, p, v in mentions if p == pattern]
+            trust[pattern, kind] = sum(own) / (totals[pattern] + pii.PRIOR)
+        miss = {}
+        for _, k, _, _, p, v in mentions:
+            for (pattern, kind), c in trust.items():
+                if k is None and p == pattern and c >= pii.TRUST:
+                    miss[v, kind] = miss.get((v, kind), 1.0) * max(1 - c, 1e-12)
+        score = {key: 1 - m for key, m in miss.items()}
+    best = {}
+    for (v, kind), s in score.items():
+        if s >= pii.ACCEPT:
+            best[v] = max(best.get(v, (0, "")), (s, kind))
+    added = {(i, "secret", a, b) for i, k, a, b, _, _ in mentions if k == "secret"}
+    return added | {(i, best[v][1], a, b) for i, k, a, b, _, v in mentions if k is None and v in best}
+
+
+def test_bootstrapped_spans_equal_the_plain_graph(spark):
+    rng = random.Random(17)
+
+    def key(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    texts = [f'{prose(rng, 9)} token = "{key(40)}" {prose(rng, 4)}' for _ in range(9)]
+    texts += [f'{prose(rng, 5)} TOKEN = "{key(40).upper()}"!! {prose(rng, 3)}', f'ab token = "k-{key(12)}-4711" end',
+              'cd token = "plain" end', f"loose {key(16)} 12345678 {prose(rng, 4)}"]
+    texts += [f"{prose(rng, 3)} write to user{i}@mail.example.org today {prose(rng, 3)}" for i in range(20)]
+    texts += ["please write to user7@intranet now", "we write to them", f"number is 10.1.2.{rng.randint(1, 9)} ok"]
+    texts += [f"seen at {rng.randint(1, 9)}.2.3.{i} by" for i in range(5)] + ["seen at 99.2.3.4000 by", "seen at noon by"]
+    want = plain_bootstrap(texts)
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    base = {(i, k, a, b) for i, t in enumerate(texts) for k, own in pii.base_spans(t).items() for a, b in own}
+    got = set()
+    for r in pii.personal_data(docs).collect():
+        for part in filter(None, r.spans.split(",")):
+            kind, a, b = part.split(":")
+            got.add((r.doc_id, kind, int(a), int(b)))
+    assert got == base | want
+    found = {texts[i][a:b] for i, k, a, b in want}
+    assert any(v.isupper() for v in found) and any(v.endswith("-4711") for v in found) and "user7@intranet" in found
+    assert "12345678" not in found and "plain" not in found
+
+
+def edited(rng, words, n):
+    """Copies of ``words`` with ``n`` words replaced, dropped or doubled at random places."""
+    out = list(words)
+    for at in sorted(rng.sample(range(len(out)), n), reverse=True):
+        out[at : at + 1] = rng.choice([[prose(rng, 1) + "q"], [], [out[at], prose(rng, 1) + "z"]])
+    return out
+
+
+def test_near_passages_with_edits_anywhere(spark):
+    """Gapped ends: 60 words with two edits and 200 words with ten are found, from first to last."""
+    rng = random.Random(41)
+    rows, want = [], {}
+    for i, (n, edits) in enumerate([(60, 1), (60, 2)] * 12 + [(200, 10)] * 8):
+        passage = prose(rng, n).split(" ")
+        near = edited(rng, passage, edits)
+        rows += [(2 * i, " ".join([prose(rng, 40), *passage, prose(rng, 40)]), "a"),
+                 (2 * i + 1, " ".join([prose(rng, 30), *near, prose(rng, 30)]), "a")]
+        want[2 * i + 1] = (2 * i, 30, 30 + len(near))
+    got = {}
+    for r in chaining.fuzzy_passages(frame(spark, rows)).collect():
+        own = got.setdefault(r.doc_id, r)
+        got[r.doc_id] = max(own, r, key=lambda r: r.end - r.start)
+    assert set(got) >= set(want)
+    for doc, (source, start, end) in want.items():
+        r = got[doc]
+        assert r.source_doc_id == source and r.start >= start - 6 and r.end <= end + 6
+        # What no seed reaches within MARGIN words may be left out of a long one.
+        assert r.end - r.start >= (end - start - 12 if end - start < 100 else 0.6 * (end - start))
+        assert r.matched >= 0.8 * (r.end - r.start)
+
+
+def test_ends_move_over_edits():
+    a = np.arange(30)
+    assert chaining.extend(a, a) == (30, 30, 30)
+    assert chaining.extend(a, a + 100) == (0, 0, 0) == chaining.extend(a[:0], a)
+    assert chaining.extend(a, np.r_[a[:5], 99, a[5:20]]) == (20, 21, 20)
+    assert chaining.extend(np.r_[a[:8], 98, a[9:25]], np.r_[a[:25], 77, 78]) == (25, 25, 24)
+
+
+def test_short_texts_have_anchors(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 8 + i % 5), "a") for i in range(60)]
+    got = fingerprints(frame(spark, rows)).collect()
+    assert all(r.fingerprint and r.edited_fingerprint for r in got)
+    assert max(r.near_next for r in got) < 0.5
+
+
 def test_html_rules():
     page = ('<html><body class="no-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use '
             "cookies for the best of it.</div><main><h2>Title</h2><p>The story of the man and the sea was told in "
@@ -227,6 +343,49 @@ def test_html_rules():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
 
 
+SENTENCE = "The report of the committee was read to the members and it was agreed that the work will go on."
+TEASER = "A short note on the work that is to be done in the town."
+ITALIAN = "Questo paragrafo racconta una piccola storia molto vecchia, ambientata vicino alle grandi montagne innevate."
+
+
+@pytest.mark.parametrize("page,kept,gone", [
+    (f'<div class="layout-with-sidebar"><article><p>{SENTENCE}</article></div>', [SENTENCE], []),
+    (f'<div class="entry comments-closed"><p>{SENTENCE}</p></div>', [SENTENCE], []),
+    (f'<div class="page no-sidebar"><div><p>{SENTENCE}</p></div></div>', [SENTENCE], []),
+    (f'<form id="aspnetForm"><div class="menu">Home</div><p>{SENTENCE}</p></form>', [SENTENCE], ["Home"]),
+    (f"<article><p>{TEASER}</p></article><div><p>{SENTENCE}</p><p>{SENTENCE}</p></div>", [SENTENCE], []),
+    (f"<div><p>{ITALIAN}</p></div><ul><li><a href=x>Chi siamo</a></ul>", [ITALIAN], ["Chi siamo"]),
+    # Names still count beside a page's text, and so do elements.
+    (f'<div><p>{SENTENCE}</p></div><div class="comments"><p>{TEASER}</p></div>', [SENTENCE], [TEASER]),
+    (f"<nav><p>{TEASER}</p></nav><div><p>{SENTENCE}</p></div><footer>{TEASER}</footer>", [SENTENCE], [TEASER]),
+    (f'<aside class="related"><article><p>{TEASER}</p></article></aside><main><p>{SENTENCE}</main>', [SENTENCE], [TEASER]),
+    (f'<div hidden><p>{SENTENCE}</p></div><p>{TEASER}</p>', [TEASER], [SENTENCE]),
+    ('<nav><a href="1">One</a></nav><footer>All rights of the owner are held by the owner of the page.</footer>', [], ["All"]),
+])
+def test_hints_are_no_verdicts(page, kept, gone):
+    text = html.main_text(page)
+    assert all(k in text for k in kept) and not any(g in text for g in gone)
+
+
+def test_the_two_passes_decide_without_names():
+    """No article, no class: length, stop words, links and neighbours tell the blocks apart."""
+    page = (f"<div><a href=1>Home</a> <a href=2>News of the day and of the world</a></div><h2>Part one</h2>"
+            f"<p>{SENTENCE}</p><p>Yes.</p><p>{SENTENCE}</p><div><a href=3>Next page</a></div><div>Imprint 2020</div>")
+    found, hinted = html.blocks(page)
+    html.classify(found, hinted)
+    assert [b.text[:8] for b in found if b.label] == ["Part one", "The repo", "Yes.", "The repo"]
+    assert [b.text for b in found if not b.label][-1] == "Imprint 2020"
+
+
+def test_very_long_and_repeated_pages(spark):
+    long = "".join(f"<p>{SENTENCE} {i}</p>" for i in range(20_000))
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", f"<p>{SENTENCE}"), (2, "u", f"<p>{SENTENCE}")],
+                                  "page_id long, url string, html string")
+    got = sorted((r.page_id, len(r.text)) for r in html.extract_text(pages).collect())
+    want = len("\n\n".join(f"{SENTENCE} {i}" for i in range(20_000)))
+    assert got == [(1, want), (2, len(SENTENCE)), (2, len(SENTENCE))]
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "<article><p>Be.", "z"), (None, None, None)], "page_id long, html string, text string")
     got = {r.page_id: r.text for r in html.extract_text(pages).collect()}
@@ -346,6 +505,53 @@ def test_ordinal_grades(spark):
     assert ordinal.grade(docs.limit(5), empty).where("accepted").count() == 5
 
 
+@pytest.mark.parametrize("sf,toxic,junk", [("sf0.001", 0.0, 0.05), ("sf0.01", 0.4, 0.8)])
+def test_small_label_tables_give_weaker_models_not_none(spark, sf, toxic, junk):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    model = ordinal.fit(docs, labels.where("doc_id % 2 = 0"))
+    assert len(model.codes) > 20
+    held = labels.where("doc_id % 2 = 1").join(ordinal.grade(docs, model), "doc_id")
+    shares = held.agg(*[F.avg(F.when(F.expr(c), F.col("accepted").cast("int"))).alias(n) for c, n in (
+        ("toxic = 1", "toxic"), ("toxic = 0 AND quality = 0", "junk"), ("toxic = 0 AND quality = 1", "clean"))]).first()
+    assert shares.toxic <= 1 - toxic and shares.junk <= 1 - junk and shares.clean >= 0.97
+
+
+def test_labels_without_any_sign_give_the_shares(spark):
+    rng = random.Random(3)
+    rows = [(i, f"w{i}", "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = ordinal.fit(frame(spark, rows), labels)
+    p_top = [r.p_top for r in ordinal.grade(frame(spark, rows), model).collect()]
+    assert all(abs(p - 0.75) < 0.1 for p in p_top) or len(model.codes)
+
+
+def test_many_small_sources_get_their_share(spark):
+    """Sources far smaller than a block of the whole mix have blocks of their own."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 40), "big") for i in range(40)] + [(100 + i, prose(rng, 5), f"s{i}") for i in range(30)]
+    saved, mixing.BLOCKS = mixing.BLOCKS, 16
+    try:
+        got = mixing.mix(frame(spark, rows)).collect()
+    finally:
+        mixing.BLOCKS = saved
+    for r in got:
+        if r.source != "big":
+            assert abs(r.taken - r.target) <= 0.5 + 1e-9
+
+
+def test_line_runs_count_by_words_too(spark):
+    rng = random.Random(21)
+    long = [prose(rng, 60) for _ in range(3)]
+    half = [prose(rng, 26) for _ in range(4)]
+    rows = [(1, "\n".join(long[:2]), "a"), (2, "\n".join(long[:2]), "a"), (3, f"new\n{long[2]}\nend", "a"),
+            (4, long[2], "a"), (5, "\n".join(half[:2]), "a"), (6, f"x\n{half[0]}\n{half[1]}\ny", "a"),
+            (7, f"{half[0]}\nother", "a"), (8, "short line\nsecond", "a"), (9, "short line\nsecond", "a")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in drop_repeated_runs(frame(spark, rows)).collect()}
+    assert got[2] == ("", 2) and got[4] == ("", 1) and got[6] == ("x\ny", 2)
+    assert all(got[i][1] == 0 for i in (1, 3, 5, 7, 8, 9))
+
+
 def test_mixing(spark, odd_rows):
     rng = random.Random(9)
     rows = odd_rows + [(1000 + i, prose(rng, rng.randint(1, 60)), rng.choice("aaaaaabc")) for i in range(300)]
@@ -371,5 +577,22 @@ def test_mixing(spark, odd_rows):
         if r.taken:
             want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
     assert mixed == want and out.columns == docs.columns
+    order = mixing.mix_order(docs).orderBy("slot", "start").collect()
+    summed, first = {}, {}
+    for r in order:
+        summed[r.doc_id] = summed.get(r.doc_id, 0) + r.words
+        first.setdefault(r.doc_id, r.slot)
+    assert summed == want
+    for r in got:
+        if r.doc_id is not None:
+            assert r.first_slot == (first.get(r.doc_id) if r.taken else None) or r.doc_id < 1000
+    # Low discrepancy: every tenth of the mix has each source near its share.
+    by_source, cut = {r.doc_id: r.source for r in got}, max(r.slot for r in order) // 10 + 1
+    whole = sum(r.words for r in order)
+    for part in range(10):
+        own = [r for r in order if r.slot // cut == part]
+        for source, (taken, _, _, _) in by.items():
+            here = sum(r.words for r in own if by_source[r.doc_id] == source)
+            assert abs(here / max(1, sum(r.words for r in own)) - taken / whole) < 0.12
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, None, None)])).first().taken == 0
