@@ -1,6 +1,7 @@
 """Bloom filters: cardinality, sizing, membership.
 
-State row: (keys, bit), the set bits only, at most ``bits`` per key.
+State row: (keys, bit), the set bits only, at most ``bits`` per key and per
+task of the map-side combine.  Larger filters are packed: see ``packed``.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ class BloomFilter(Sketch):
 
     code: ClassVar[str] = "BF"
     slots: ClassVar[tuple[str, ...]] = ("bit",)
-    fans_out: ClassVar[bool] = True
 
     @classmethod
     def for_elements(cls, n: int, fpp: float, **kw) -> BloomFilter:

@@ -1,7 +1,8 @@
 """Flajolet-Martin bitmaps.
 
 State row: (keys, seed, bits): the set of trailing-zero ranks seen by hash
-number ``seed``, OR-ed together.  A key holds one row per hash function.
+number ``seed``, OR-ed together.  A key holds one row per hash function, so the
+map-side combine sends that many rows of a key and task, whatever its values.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ class FlajoletMartin(Sketch):
     code: ClassVar[str] = "FM"
     slots: ClassVar[tuple[str, ...]] = ("seed",)
     payload: ClassVar[dict] = {"bits": F.bit_or}
-    fans_out: ClassVar[bool] = True
 
     @classmethod
     def for_error(cls, error: float, **kw) -> FlajoletMartin:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from distinctspark import session
@@ -28,12 +28,24 @@ DOMAIN = float(1 << HASH_BITS)
 PRUNE_FACTOR = 4
 #: Rows per retained hash from which a key is worth a bound of its own.
 HEAVY_FACTOR = 64
+#: Rows up to which the optimizer limits ranked groups early.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 #: Hash classes a key's hashes are spread over before they are ranked.
 SPREAD = 64
 
 
+def allow_group_limit(spark: SparkSession, k: int) -> None:
+    """Let the optimizer cut ranked groups to ``k`` rows before they are shuffled.
+
+    It does so up to a configured number of rows only; the setting changes plans, never results.
+    """
+    if int(spark.conf.get(GROUP_LIMIT)) < k:
+        spark.conf.set(GROUP_LIMIT, str(k))
+
+
 def smallest(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """The k smallest ``h`` per key, with their ``rank``; for bounded groups."""
+    allow_group_limit(rows.sparkSession, k)
     by = Window.partitionBy(*keys).orderBy("h")
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
@@ -44,6 +56,7 @@ def smallest_per_class(rows: DataFrame, keys: Sequence[str], k: int) -> DataFram
     A superset of the key's k smallest.  A hot key's hashes are ranked by that
     many tasks, and what is left of it is small enough for one.
     """
+    allow_group_limit(rows.sparkSession, k)
     by = Window.partitionBy(*keys, F.pmod("h", F.lit(SPREAD))).orderBy("h")
     ranked = rows.withColumn("rank", F.row_number().over(by))
     return ranked.where(F.col("rank") <= k).drop("rank")

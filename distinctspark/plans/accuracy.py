@@ -60,6 +60,15 @@ def accuracy_rank(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def pivot_values(df: DataFrame, key: str) -> list[str]:
+    """The values of a key column, in order; refuses more than Spark pivots."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = sorted(r[0] for r in df.select(key).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{key} has more than {most} values")
+    return found
+
+
 def accuracy_pivot(report: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Methods as rows, one error column per key value."""
     return report.groupBy("name").pivot(key, list(values)).agg(F.first("rel_error"))

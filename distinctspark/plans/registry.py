@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from distinctspark.operators.base import Sketch
+from distinctspark.operators.base import Sketch, named_value
 from distinctspark.operators.bjkst import Bjkst
 from distinctspark.operators.bloom import BloomFilter
 from distinctspark.operators.cte import CountThenEstimate
@@ -69,8 +70,31 @@ def approx_distinct(
     prehashed: bool = False,
     **params,
 ) -> DataFrame:
-    """One estimate per key with the chosen method."""
-    return make_sketch(alg, **params).count(df, keys, value, prehashed)
+    """One estimate per key with the chosen method; 0 where a key's values are all NULL."""
+    found = make_sketch(alg, **params).count(df, keys, value, prehashed)
+    return with_empty_keys(found, df, keys, value) if keys else found
+
+
+def with_empty_keys(
+    estimates: DataFrame, df: DataFrame, keys: Sequence[str], value: str | Column
+) -> DataFrame:
+    """``estimates`` and a row of estimate 0 for every key that has NULL values only.
+
+    As COUNT(DISTINCT) has them.  Files whose statistics tell that they hold no NULL are not read.
+    """
+    df, name = named_value(df, value)
+    if not df.schema[name].nullable:
+        return estimates
+    others = [f for f in estimates.schema if f.name not in keys]
+    zeros = [
+        F.lit(0 if f.name == "estimate" else None).cast(f.dataType).alias(f.name) for f in others
+    ]
+    empty = df.where(F.col(name).isNull()).select(*keys).distinct()
+    rows = estimates.withColumn("_found", F.lit(True)).unionByName(
+        empty.select(*keys, *zeros, F.lit(False).alias("_found"))
+    )
+    best = F.max_by(F.struct(*[f.name for f in others]), "_found").alias("_best")
+    return rows.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
 def sketch_state(

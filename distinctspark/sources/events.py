@@ -23,10 +23,17 @@ def _csv_options(comment: str | None) -> dict[str, str]:
     return {"header": "false", "mode": "PERMISSIVE"} | ({"comment": comment} if comment else {})
 
 
+def read_raw(spark: SparkSession, path: str, comment: str | None = "*") -> DataFrame:
+    """The positional text fields of header-less CSV files."""
+    return spark.read.schema(RAW_SCHEMA).options(**_csv_options(comment)).csv(path)
+
+
 def read_events(spark: SparkSession, path: str, comment: str | None = "*") -> DataFrame:
-    """ts_ms, ts, key, value of header-less CSV files; short rows keep NULLs."""
-    raw = spark.read.schema(RAW_SCHEMA).options(**_csv_options(comment)).csv(path)
-    return parse_events(raw)
+    """ts_ms, ts, key, value of header-less CSV files; short rows keep NULLs.
+
+    Rows without a time are dropped; :func:`rejected_rows` of :func:`read_raw` counts them.
+    """
+    return parse_events(read_raw(spark, path, comment))
 
 
 def stream_events(
@@ -53,6 +60,22 @@ def parse_events(raw: DataFrame) -> DataFrame:
     ).where(F.col("ts_ms").isNotNull())
 
 
+def rejected_rows(raw: DataFrame) -> DataFrame:
+    """n_rows, and how many of the positional text rows lack a time, a key or a value.
+
+    ``bad`` fields are there but do not parse; a row may count in several columns.
+    """
+    bad_ts = F.col("ts_ms").try_cast("long").isNull()
+    bad_value = F.col("value").isNotNull() & F.col("value").try_cast("double").isNull()
+    return raw.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(bad_ts).alias("n_dropped"),
+        F.count_if(F.col("key").isNull()).alias("n_no_key"),
+        F.count_if(F.col("value").isNull()).alias("n_no_value"),
+        F.count_if(bad_value).alias("n_bad_value"),
+    )
+
+
 def scaled_value(value: Column) -> Column:
     return F.round(value * VALUE_SCALE).cast("long")
 

@@ -17,13 +17,14 @@ from distinctspark.workloads.queries import (
     BUFFERED,
     DISPATCH,
     ESTIMATES,
-    EVENT_TYPES,
     MERGES,
     METHODS,
     SIZE_MS,
     SLIDE_MS,
 )
 
+#: Event types of the given tables.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 M30 = (1 << 30) - 1
 PRIME = (1 << 31) - 1
 EVENTS = (
@@ -446,8 +447,7 @@ ORACLES["bloom_sizing"] = (
     "grp AS (SELECT o_orderpriority, count(DISTINCT o_custkey) AS n_distinct, "
     "round(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) / 100.0::DOUBLE, 2) AS target "
     "FROM orders GROUP BY o_orderpriority), ok AS (SELECT *, row_number() OVER (PARTITION BY "
-    "o_orderpriority ORDER BY bits_per_element, k) AS rn FROM grp JOIN choice ON fpp <= target "
-    "WHERE target IN (SELECT l_discount FROM lineitem)) "
+    "o_orderpriority ORDER BY bits_per_element, k) AS rn FROM grp JOIN choice ON fpp <= target) "
     "SELECT o_orderpriority, n_distinct, target, bits_per_element, k, "
     "n_distinct * bits_per_element AS bits, round(fpp, 9) AS fpp FROM ok WHERE rn = 1"
 )
@@ -668,6 +668,12 @@ ORACLES["duration_cut"] = (
     f"SELECT event_type, count(*) AS n, max(ts_us) AS last_us FROM {EVENTS} "
     "WHERE ts <= (SELECT min(ts) FROM events) + INTERVAL 10 DAY GROUP BY 1"
 )
+ORACLES["event_rejects"] = (
+    "SELECT count(*) AS n_rows, count(*) FILTER (event_id % 7 = 0) AS n_dropped, "
+    "count(*) FILTER (event_id % 5 = 0) AS n_no_key, "
+    "count(*) FILTER (event_id % 13 = 0 AND event_id % 11 <> 0) AS n_no_value, "
+    "count(*) FILTER (event_id % 11 = 0) AS n_bad_value FROM events"
+)
 ORACLES["fill_missing"] = (
     "SELECT CASE WHEN value < 1 THEN 'DUMMY' ELSE event_type END AS key, count(*) AS n, "
     "count(*) AS n_values FROM events GROUP BY 1"
@@ -684,6 +690,12 @@ ORACLES["alg_dispatch"] = " UNION ALL ".join(
     f"{estimate(alg, _parts, 'l_returnflag', params)}"
     for alg, params in DISPATCH.items()
 )
+_some = source("(SELECT * FROM lineitem WHERE l_returnflag <> 'R')", "l_returnflag", "l_partkey")
+ORACLES["null_only_keys"] = " UNION ALL ".join(
+    f"SELECT '{alg}' AS alg, l_returnflag, estimate FROM "
+    f"{estimate(alg, _some, 'l_returnflag', params)} UNION ALL SELECT '{alg}', 'R', 0"
+    for alg, params in DISPATCH.items()
+)
 _own = md5h("l_orderkey || '-' || l_linenumber")
 ORACLES["prehashed_sketch"] = "SELECT * FROM " + estimate(
     "HLL", f"(SELECT l_returnflag, {_own} AS h FROM lineitem)", "l_returnflag", {"p": 11}
@@ -860,3 +872,16 @@ ORACLES["stream_batch_metrics"] = (
     f"max(ms) AS last_ms FROM {_halves} GROUP BY early"
 )
 ORACLES["stream_dedup_within"] = f"SELECT DISTINCT event_type AS key, cents AS value FROM {EVENTS}"
+
+
+def _fast_windows(factor: int, key: str, name: str, size_ms: int, slide_ms: int) -> str:
+    at = f"(ts_us // 1000 * 1000) // {factor}"
+    rows = f"(SELECT {key} AS {name}, {at} AS ts_us, {mix('cents')} AS h FROM {EVENTS})"
+    found = windowed(rows, name, size_ms, slide_ms, "HLL", 4)
+    return f"SELECT * FROM {found} WHERE window_end <= (SELECT max(ts_us) // 1000 * 1000 FROM {rows})"
+
+
+ORACLES["stream_fine"] = _fast_windows(3_600_000, "event_type", "key", 2, 1)
+ORACLES["stream_by_timestamp"] = _fast_windows(
+    3600, "(ts_us // 1000 * 1000) // 3600 // 1000", "fast_ms", 1000, 500
+)

@@ -7,6 +7,7 @@ session time zone.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,21 +203,30 @@ def bitmap_native(spark, folder):
     return native.bitmap_exact(lineitem(spark, folder), ["l_returnflag"], "l_orderkey")
 
 
+@query
+def null_only_keys(spark, folder):
+    """Flag R has no values: every method gives it 0, as COUNT(DISTINCT) does."""
+    rows = lineitem(spark, folder).withColumn(
+        "value", F.when(F.col("l_returnflag") != "R", F.col("l_partkey"))
+    )
+    found = [
+        approx_distinct(rows, ["l_returnflag"], "value", alg, hash="mix", **params).select(
+            F.lit(alg).alias("alg"), "l_returnflag", "estimate"
+        )
+        for alg, params in DISPATCH.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 # -- Bloom -------------------------------------------------------------------
 
 
 @query
 def bloom_sizing_query(spark, folder):
-    """Filter size per priority and false-positive target (the discounts in use)."""
+    """Filter size per priority for as many percent of false positives as its leading digit."""
     groups = exact_distinct(orders(spark, folder), ["o_orderpriority"], "o_custkey")
-    targets = (
-        lineitem(spark, folder).where("l_discount > 0").select(F.col("l_discount").alias("target"))
-    ).distinct()
-    # One target per group: the group's rank in the sorted target list would need
-    # a global sort, so each order priority's leading digit picks its target.
-    picked = groups.withColumn(
-        "target", F.round(F.substring("o_orderpriority", 1, 1).cast("int") / 100.0, 2)
-    ).join(targets, "target", "left_semi")
+    percent = F.substring("o_orderpriority", 1, 1).cast("int")
+    picked = groups.withColumn("target", F.round(percent / 100.0, 2))
     sized = bloom_sizing(picked, "n_distinct", "target")
     return sized.select(
         "o_orderpriority", "n_distinct", "target", "bits_per_element", "k", "bits",
@@ -581,6 +591,20 @@ def duration_cut(spark, folder):
     )
 
 
+@query
+def event_rejects(spark, folder):
+    """What a CSV of events with broken fields loses, and what it lacks."""
+    path = new_path(spark, "events-raw")
+    n = F.col("event_id")
+    broken = events(spark, folder).select(
+        F.when(n % 7 == 0, F.lit("soon")).otherwise(F.floor(F.col("ts_us") / 1000).cast("string")),
+        F.when(n % 5 != 0, F.col("event_type")),
+        F.when(n % 11 == 0, F.lit("much")).when(n % 13 != 0, F.col("value").cast("string")),
+    )
+    broken.write.option("header", "false").csv(path)
+    return ev.rejected_rows(ev.read_raw(spark, path))
+
+
 @query
 def fill_missing(spark, folder):
     """Every row whose value is below 1 loses its key or its value first."""
@@ -832,20 +856,21 @@ def accuracy_rank(spark, folder):
     return _round_error(accuracy.accuracy_rank(_report(spark, folder), ["event_type"]))
 
 
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+def _pivoted(spark, folder) -> tuple[DataFrame, list[str]]:
+    types = accuracy.pivot_values(table(spark, folder, "events"), "event_type")
+    report = _round_error(_report(spark, folder))
+    return accuracy.accuracy_pivot(report, "event_type", types), types
 
 
 @query
 def accuracy_pivot(spark, folder):
-    return accuracy.accuracy_pivot(
-        _round_error(_report(spark, folder)), "event_type", EVENT_TYPES
-    )
+    return _pivoted(spark, folder)[0]
 
 
 @query
 def accuracy_unpivot(spark, folder):
-    wide = accuracy.accuracy_pivot(_round_error(_report(spark, folder)), "event_type", EVENT_TYPES)
-    return accuracy.accuracy_unpivot(wide, "event_type", EVENT_TYPES)
+    wide, types = _pivoted(spark, folder)
+    return accuracy.accuracy_unpivot(wide, "event_type", types)
 
 
 @query
@@ -863,7 +888,7 @@ def _drained(
     spark,
     folder,
     build,
-    delay: str = "0 seconds",
+    delay: str | None = "0 seconds",
     held: Callable[[Column, int], Column] | None = None,
     **how,
 ) -> runs.Drained:
@@ -885,8 +910,8 @@ def _drained(
         chunk.write.mode("append").option("header", "false").csv(path)
 
     def stream(session: SparkSession) -> DataFrame:
-        source = ev.stream_events(session, path).withWatermark("ts", delay)
-        return build(source)
+        source = ev.stream_events(session, path)
+        return build(source.withWatermark("ts", delay) if delay else source)
 
     return runs.drain(spark, stream, feed, STREAM_STEPS, **how)
 
@@ -913,6 +938,37 @@ def stream_sliced_append(spark, folder):
     return flat_window(drained.result(), F.unix_micros)
 
 
+def _fast(source: DataFrame, factor: int) -> DataFrame:
+    """A stream with time running ``factor`` times faster, and its watermark."""
+    fast = source.withColumn("fast_ts", F.timestamp_micros(F.expr(f"ts_ms * 1000 div {factor}")))
+    return fast.withWatermark("fast_ts", "0 seconds")
+
+
+@query
+def stream_fine(spark, folder):
+    """2 ms windows every 1 ms over a stream of compressed time."""
+
+    def build(source: DataFrame) -> DataFrame:
+        return windowed_distinct(
+            _fast(source, 3_600_000), ["key"], "value", "fast_ts", 2, 1, "HLL", hash="mix", p=4
+        )
+
+    return flat_window(_drained(spark, folder, build, None).result(), F.unix_micros)
+
+
+@query
+def stream_by_timestamp(spark, folder):
+    """1 s windows every 500 ms of a stream keyed by the timestamp field."""
+
+    def build(source: DataFrame) -> DataFrame:
+        fast = _fast(source, 3600).withColumn("fast_ms", F.unix_millis("fast_ts"))
+        return windowed_distinct(
+            fast, ["fast_ms"], "value", "fast_ts", 1000, 500, "HLL", hash="mix", p=4
+        )
+
+    return flat_window(_drained(spark, folder, build, None).result(), F.unix_micros)
+
+
 #: Slide of the windows whose state is one bounded buffer each.
 BUFFER_SLIDE_MS = 5 * HOUR_MS // 2
 BUFFERED: dict[str, tuple[str, dict]] = {

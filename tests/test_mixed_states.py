@@ -10,8 +10,9 @@ from distinctspark import approx_distinct, windowed_distinct
 from distinctspark.functions.bias import LINEAR_BELOW, POINTS, bias_table
 from distinctspark.operators.kmv import kmv_overlap
 from distinctspark.operators.packed import BLOCK_BITS, BlockedBloom, bit_is_set
-from distinctspark.operators.registers import hll_alpha
-from distinctspark.plans.registry import make_sketch
+from distinctspark.operators.registers import hll_alpha, loglog_alpha_m
+from distinctspark.plans.accuracy import accuracy_pivot, pivot_values
+from distinctspark.plans.registry import SKETCHES, make_sketch
 from distinctspark.session import materialize
 
 
@@ -183,3 +184,31 @@ def test_given_64_bit_hashes(spark):
     for alg, params in (("HLL", {"p": 14}), ("KMV", {"k": 4096})):
         found = approx_distinct(df, [], "h", alg, prehashed=64, **params).first().estimate
         assert abs(found / 100_000 - 1) < 0.05
+
+
+def test_keys_of_nulls_only_count_zero(spark):
+    df = rows(spark, [("a", 0, 50)]).unionByName(spark.range(3).selectExpr("'n' AS key", "CAST(NULL AS LONG) AS v"))
+    for alg in sorted(SKETCHES):
+        found = {r.key: r.estimate for r in approx_distinct(df, ["key"], "v", alg).collect()}
+        assert found["n"] == 0 and found["a"] > 30, alg
+    full = approx_distinct(df.unionByName(rows(spark, [("b", 0, 9000)])), ["key"], "v", "LC", bits=8)
+    assert {r.key: r.estimate for r in full.where("key <> 'a'").collect()} == {"n": 0, "b": None}
+
+
+def test_minima_are_cut_before_the_shuffle_at_any_k(spark):
+    df = rows(spark, [("a", 0, 10**6)])  # only planned
+    for k in (1024, 5000):
+        sketch = make_sketch("KMV", k=k)
+        plan = sketch.reduce(sketch.hashed(df, ["key"], "v"), ["key"])
+        assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loglog_constant_tends_to_its_limit():
+    for p in range(12, 31):
+        assert abs(loglog_alpha_m(p) / (1 << p) - 0.39701181) < 0.5 / (1 << p) + 1e-7
+
+
+def test_pivot_takes_its_columns_from_the_data(spark):
+    df = spark.createDataFrame([("m", "x", 0.1), ("m", "sixth", 0.2)], "name string, key string, rel_error double")
+    wide = accuracy_pivot(df, "key", pivot_values(df, "key"))
+    assert wide.columns == ["name", "sixth", "x"] and tuple(wide.first()) == ("m", 0.2, 0.1)

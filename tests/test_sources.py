@@ -107,6 +107,14 @@ def test_measurement_files_named_by_run(spark, tmp_path):
     assert [tuple(x) for x in row] == [("slicing", "KMV", "500000", "sorted", "queryTime", "1558")]
 
 
+def test_run_names_may_hold_underscores(spark, tmp_path):
+    name = "aggregate_HLL_100000_left_skewed_insertionTime_77.csv"
+    (tmp_path / name).write_text("insertion_start,insertion_end\n1,4\n")
+    r = ms.read_measurements(spark, str(tmp_path), "insertion_start long, insertion_end long")
+    row = r.select(*ms.RUN_PARTS).first()
+    assert tuple(row) == ("aggregate", "HLL", "100000", "left_skewed", "insertionTime", "77")
+
+
 def test_appending_fills_missing_columns(spark):
     a = spark.createDataFrame([(1, 2)], "x int, y int")
     b = spark.createDataFrame([(3, 4)], "x int, z int")
