@@ -163,6 +163,19 @@ def _step(model: Ordinal, scale: np.ndarray) -> Callable[[pd.DataFrame], pd.Data
     return train
 
 
+def _steps(model: Ordinal, scale: np.ndarray) -> Callable:
+    """:func:`_step` for each shard whose stored rows a task reads; nothing is shuffled."""
+    train = _step(model, scale)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [f for f in frames if len(f)]
+        if rows:
+            for _, shard in pd.concat(rows).groupby("shard"):
+                yield train(shard)
+
+    return each
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ordinal:
     """Fit grades quality + (1 - toxic) on a bounded sample of labelled documents.
 
@@ -201,11 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ord
     model = Ordinal(codes, np.zeros(len(codes)), np.linspace(-2.0, 0.0, GRADES - 1))
     table = texts.mapInArrow(_featurise(codes), "doc_id long, grade int, codes array<int>")
     shards = table.withColumn("order", order).withColumn("shard", F.expr(f"pmod(order, {SHARDS})"))
-    shards = materialize(shards, "labelled")
+    shards = materialize(shards.repartitionByRange(SHARDS, "shard"), "labelled")
     for _ in range(ROUNDS):
-        parts = shards.groupBy("shard").applyInPandas(
-            _step(model, scale), "shard int, n long, weights array<double>, cuts array<double>")
-        parts = sorted(parts.collect(), key=lambda r: r.shard)
+        parts = shards.mapInPandas(
+            _steps(model, scale), "shard int, n long, weights array<double>, cuts array<double>")
+        parts = sorted(parts.collect(), key=lambda r: (r.shard, r.n))
         share = np.array([p.n for p in parts], dtype=float) / sum(p.n for p in parts)
         model = Ordinal(
             codes,
