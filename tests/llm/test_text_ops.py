@@ -313,6 +313,88 @@ def test_near_passages_with_edits_anywhere(spark):
         assert r.matched >= 0.8 * (r.end - r.start)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_every_near_passage_at_the_threshold(spark):
+    """Edits spread evenly or at random, to 80 % identity; a near copy of a near copy as well."""
+    rng = random.Random(12)
+    rows, want, doc = [], {}, 0
+
+    def document(words):
+        nonlocal doc
+        doc += 1
+        rows.append((doc, " ".join([prose(rng, 30), *words, prose(rng, 35)]), "a"))
+        return doc
+
+    def even(words, step):
+        return [w + "q" if i % step == step // 2 else w for i, w in enumerate(words)]
+
+    for n, edits in [(52, 10), (60, 4), (60, 6), (60, 11), (200, 20), (200, 39)] * 3:
+        passage = prose(rng, n).split(" ")
+        first = document(passage)
+        near = edited(rng, passage[1:-1], edits)
+        near = [passage[0], *near, passage[-1]]
+        want[document(near)] = first, len(near), edit_distance(passage, near) <= 0.2 * max(n, len(near))
+        want[document(even(passage, 5))] = first, n, True
+        # Near the second copy only: both its edits and others.
+        other = [w + "z" if i % 5 == 4 and 0 < i < n - 1 else w for i, w in enumerate(even(passage, 5))]
+        want[document(other)] = doc, n, True
+    got = {}
+    for r in chaining.fuzzy_passages(frame(spark, rows)).collect():
+        assert max(r.end - r.start, r.source_end - r.source_start) >= 50
+        assert r.matched >= 0.8 * max(r.end - r.start, r.source_end - r.source_start)
+        got.setdefault((r.doc_id, r.source_doc_id), []).append(r)
+    for key, (source, n, near) in want.items():
+        assert not near or (key, source) in got, (key, source, n)
+        if near and n < 100:
+            assert max(r.end - r.start for r in got[key, source]) >= 48
+
+
+def test_near_spans_against_brute_force():
+    """Wherever a window of 50 words is within 10 edits of one of the other text, a passage is found."""
+    rng = random.Random(13)
+    for n in range(40):
+        passage = [rng.randrange(10**6) for _ in range(50)]
+        near = list(passage)
+        for at in rng.sample(range(1, 49), rng.choice([3, 8, 10, 10, 14])):
+            near[at] = -1
+        a, b = ([rng.randrange(10**6, 10**7) for _ in range(rng.randrange(40))] + own for own in (passage, near))
+        distance = edit_distance(passage, near)
+        shift = len(b) - len(a)
+        found = chaining.near_spans(np.array(a), np.array(b), shift - 10, shift + 10)
+        assert len(found) == (distance <= 10), (n, distance)
+        for start, end, source, stop, matched in found:
+            assert (start, end, source, stop) == (len(a) - 50, len(a), len(b) - 50, len(b)) and matched == 50 - distance
+
+
+def test_rare_grams_keep_one_of_every_near_window():
+    rng = random.Random(14)
+    none = np.zeros(0, np.int64)
+    for _ in range(50):
+        n = {h: rng.choice([2, 2, 3, 50, 1000]) for h in range(200)}
+        shared = rng.sample(range(200), chaining.COMMON)
+        sides = []
+        for side in range(2):
+            own = shared + [h for h in rng.sample(range(200), 30) if h not in shared]
+            pos = np.sort(np.array(rng.sample(range(48), len(own[:48]))))
+            h = np.array(own[:48])
+            rng.shuffle(own)
+            kept, mine = chaining.rare_grams(pos, h << 30, np.array([n[v] for v in h.tolist()]), none, none)
+            assert (kept == mine).all()
+            sides.append(set(h[kept].tolist()))
+        assert sides[0] & sides[1] & set(shared)
+    pos = np.arange(60)
+    kept, mine = chaining.rare_grams(pos, pos << 30, np.full(60, 2), np.array([0]), np.array([62]))
+    assert kept.any() and not mine.any()
+
+
 def test_ends_move_over_edits():
     a = np.arange(30)
     assert chaining.extend(a, a) == (30, 30, 30)
