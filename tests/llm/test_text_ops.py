@@ -386,13 +386,14 @@ def test_rare_grams_keep_one_of_every_near_window():
             pos = np.sort(np.array(rng.sample(range(48), len(own[:48]))))
             h = np.array(own[:48])
             rng.shuffle(own)
-            kept, mine = chaining.rare_grams(pos, h << 30, np.array([n[v] for v in h.tolist()]), none, none)
+            kept, mine = chaining.rare_grams(pos, h << 30, np.array([n[v] for v in h.tolist()]), none, none, none > 0)
             assert (kept == mine).all()
             sides.append(set(h[kept].tolist()))
         assert sides[0] & sides[1] & set(shared)
     pos = np.arange(60)
-    kept, mine = chaining.rare_grams(pos, pos << 30, np.full(60, 2), np.array([0]), np.array([62]))
-    assert kept.any() and not mine.any()
+    for exact in (False, True):
+        kept, mine = chaining.rare_grams(pos, pos << 30, np.full(60, 2), np.array([0]), np.array([62]), np.array([exact]))
+        assert kept.any() != exact and not mine.any()
 
 
 def test_ends_move_over_edits():
